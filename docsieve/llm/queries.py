@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsieve.llm import quality_rules
+from docsieve.llm import quality_rules, secret_scan, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,78 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op7(_table(spark, sf_dir, "documents"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.op6(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op9(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_topk_search": op6_topk_search,
+    "op9_secret_scan": op9_secret_scan,
     "op7_quality_rules": op7_quality_rules,
 }
 
+def _secret_sql() -> str:
+    """The secret scan for DuckDB: runs of each kind by splitting, windows of a candidate one row each."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = [(k, kind, pattern, group) for k, (kind, pattern, group, _) in enumerate(secret_scan.BASE)]
+    kinds += [(len(kinds) + k, kind, pattern, 0) for k, (kind, _, pattern, _, _) in enumerate(secret_scan.CLASSES)]
+    runs = " UNION ALL ".join(
+        f"""SELECT r, {k} AS ord, '{kind}' AS kind, ms[i] AS v, length(gs[i]) AS size,
+            coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+        FROM (SELECT r, ms, gs, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+            SELECT r, regexp_extract_all(t, {quoted(pattern)}) AS ms, regexp_extract_all(t, {quoted(pattern)}, {group}) AS gs,
+                   string_split_regex(t, {quoted(pattern)}) AS ps
+            FROM d WHERE regexp_matches(t, {quoted(pattern)})))"""
+        for k, kind, pattern, group in kinds
+    )
+    base = " OR ".join(f"(ord = {k} AND size >= {least})" for k, (_, _, _, least) in enumerate(secret_scan.BASE))
+    fit = " OR ".join(
+        f"(ord = {len(secret_scan.BASE) + k} AND {' AND '.join(f'regexp_matches(v, {quoted(h)})' for h in holds)}"
+        f" AND NOT regexp_matches(v, {quoted('|'.join(secret_scan.ALLOW))}))"
+        for k, (_, _, _, holds, _) in enumerate(secret_scan.CLASSES)
+    )
+    limit = " ".join(f"WHEN {len(secret_scan.BASE) + k} THEN {secret_scan.sum_limit(bits)}" for k, (*_, bits) in enumerate(secret_scan.CLASSES))
+    width, terms = secret_scan.WINDOW, secret_scan._TERMS[1:]
+    label = "kind || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+runs AS (SELECT *, s + length(v) AS e FROM ({runs})),
+base AS (SELECT * FROM runs WHERE {base}),
+likely AS (SELECT *, row_number() OVER () AS c FROM runs WHERE {fit}),
+windows AS (SELECT c, w, unnest(string_split(substr(v, w, {width}), '')) AS ch
+            FROM (SELECT c, v, unnest(range(1, length(v) - {width - 2})) AS w FROM likely)),
+sums AS (SELECT c, w, sum(({terms})[n]) AS total FROM (SELECT c, w, ch, count(*) AS n FROM windows GROUP BY ALL) GROUP BY ALL),
+more AS (SELECT likely.* EXCLUDE (c) FROM likely JOIN (SELECT c, min(total) AS best FROM sums GROUP BY c) USING (c)
+         WHERE best <= CASE ord {limit} END),
+clear AS (SELECT * FROM more m WHERE NOT EXISTS (
+            SELECT 1 FROM (SELECT * FROM base UNION ALL SELECT * FROM more) o WHERE o.r = m.r AND o.s < m.e AND m.s < o.e AND o.ord < m.ord)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM clear),
+sums_by AS (
+  SELECT r, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+         string_agg({label}, ',' ORDER BY s, ord, e) FILTER (ord < {len(secret_scan.BASE)}) AS base, string_agg({label}, ',' ORDER BY s, ord, e) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums_by USING (r)"""
+
+
 ORACLE_SQL = {
+    "op6_topk_search": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5""",
+    "op9_secret_scan": _secret_sql(),
     "op7_quality_rules": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
