@@ -14,6 +14,7 @@ Columns beside id and text pass through scan() untouched; its own column is `spa
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +96,18 @@ def least_window_sum(value: Column, alphabet: str) -> Column:
     return F.get(F.transform(held, lambda c: F.aggregate(F.sequence(F.lit(0), 2 * F.size(c) - 1), start, lambda s, j: moved(s, j, c))["best"]), F.lit(0))
 
 
+def _at_least(size: int) -> Callable[[Column], Column]:
+    return lambda x: x["size"] >= size
+
+
+def _of_kind(order: int) -> Callable[[Column], Column]:
+    return lambda x: x["ord"] == order
+
+
+def _secrets_of(alphabet: str, holds: list[str], bits: float, allow: list[str]) -> Callable[[Column], Column]:
+    return lambda x: _is_secret(x["value"], alphabet, holds, bits, allow)
+
+
 def _is_secret(value: Column, alphabet: str, holds: list[str], bits: float, allow: list[str]) -> Column:
     fit = F.lit(True)
     for pattern in holds:
@@ -112,16 +125,16 @@ def scan(docs: DataFrame, text_col: str = "text", allow: list[str] = ALLOW) -> D
     base = []
     for k, (kind, pattern, group, least) in enumerate(BASE):
         runs = _runs(text, _LONG_HEX if kind == "hex" else pattern, group, kind, k)
-        base.append(F.filter(runs, lambda x, n=least: x["size"] >= n))
+        base.append(F.filter(runs, _at_least(least)))
     more = []
     for k, (kind, alphabet, pattern, holds, bits) in enumerate(CLASSES):
         runs = _runs(text, pattern, 0, kind, len(BASE) + k)
-        more.append(F.filter(runs, lambda x, a=alphabet, h=holds, b=bits: _is_secret(x["value"], a, h, b, allow)))
+        more.append(F.filter(runs, _secrets_of(alphabet, holds, bits, allow)))
     rows = docs.withColumn("__base", F.when(likely, F.concat(*base)).otherwise(none))
     rows = rows.withColumn("__more", F.when(likely, F.concat(*more)).otherwise(none))
     # A span of the method stands where no base span, and no earlier kind of its own, overlaps it.
-    clear = lambda x, others: ~F.exists(others, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (y["ord"] < x["ord"]))
-    added = F.filter(F.col("__more"), lambda x: clear(x, F.concat("__base", "__more")))
+    others = F.concat("__base", "__more")
+    added = F.filter("__more", lambda x: ~F.exists(others, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (y["ord"] < x["ord"])))
     ordered = F.array_sort(F.transform(F.concat("__base", added), lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"))))
     return rows.withColumn("spans", ordered).drop("__base", "__more")
 
@@ -149,5 +162,5 @@ def op9(docs: DataFrame) -> DataFrame:
     rows = scan(docs.select("doc_id", "text"))
     label = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("spans", lambda x: x["ord"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["ord"] == k)).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)]
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, label), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", label), ",").alias("spans"))
