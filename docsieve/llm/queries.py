@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsieve.llm import quality_rules, secret_scan, topk_search
+from docsieve.llm import language_id, quality_rules, secret_scan, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op7(_table(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op1(_table(spark, sf_dir, "documents"))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op6(_table(spark, sf_dir, "embeddings"))
 
@@ -24,6 +28,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op6_topk_search": op6_topk_search,
     "op9_secret_scan": op9_secret_scan,
     "op7_quality_rules": op7_quality_rules,
