@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docsieve.llm import language_id, quality_rules, secret_scan, topk_search
+from docsieve.llm import language_id, quality_rules, secret_scan, token_store, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op6(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    return token_store.op8(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op9(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op6_topk_search": op6_topk_search,
+    "op8_token_store": op8_token_store,
     "op9_secret_scan": op9_secret_scan,
     "op7_quality_rules": op7_quality_rules,
 }
