@@ -18,7 +18,7 @@ def make_folder(uri: str) -> None:
 
 def write(uri: str, content: bytes) -> None:
     store, path = opened(uri)
-    with store.open_output_stream(path) as f:
+    with store.open_output_stream(path, compression=None) as f:
         f.write(content)
 
 

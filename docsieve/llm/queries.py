@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docsieve.llm import language_id, quality_rules, secret_scan, token_store, topk_search
+from docsieve.llm import language_id, packing, quality_rules, secret_scan, token_store, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op1(_table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    return packing.op2(_table(spark, sf_dir, "documents"), tokenizer)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op5(_table(spark, sf_dir, "pages"))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op6(_table(spark, sf_dir, "embeddings"))
 
@@ -34,6 +42,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_warc": op5_warc,
     "op6_topk_search": op6_topk_search,
     "op8_token_store": op8_token_store,
     "op9_secret_scan": op9_secret_scan,
@@ -86,6 +96,11 @@ FROM d LEFT JOIN sums_by USING (r)"""
 
 
 ORACLE_SQL = {
+    "op5_warc": """
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN strlen(h) >= 1000 AND page_id IS DISTINCT FROM head AND head IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 1000 AND page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages)""",
     "op6_topk_search": """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
