@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docsieve.llm import language_id, packing, quality_rules, secret_scan, token_store, topk_search, warc
+from docsieve.llm import jaccard_join, language_id, packing, quality_rules, secret_scan, token_store, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = publ
     return packing.op2(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op5(_table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_warc": op5_warc,
     "op6_topk_search": op6_topk_search,
     "op8_token_store": op8_token_store,
