@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docsieve.llm import jaccard_join, language_id, packing, quality_rules, secret_scan, token_store, topk_search, warc
+from docsieve.llm import jaccard_join, language_id, packing, quality_rules, secret_scan, substring_dedup, token_store, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op9(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_topk_search": op6_topk_search,
     "op8_token_store": op8_token_store,
     "op9_secret_scan": op9_secret_scan,
+    "op10_substring_dedup": op10_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
 }
 
