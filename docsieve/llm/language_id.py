@@ -211,6 +211,21 @@ def predict(docs: DataFrame, model: BytesGru | None, id_cols: list[str], text_co
     return lettered.mapInArrow(label, f"{kinds}, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: BytesGru | None, least: float, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text has no letter, or whose prediction has a score under least. Columns stay as they are."""
+    lettered = docs.where(has_letter(F.col(text_col)))
+    if model is None:
+        return lettered.limit(0)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in shared.text_slices(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(pooled(model, data, offsets).max(1) >= least))
+
+    return lettered.mapInArrow(keep, docs.schema)
+
+
 def op1(docs: DataFrame) -> DataFrame:
     """Per document of a table (doc_id, text, lang): held_out, lang_pred and score. Held-out rows (crc32 of the id as text, modulo 4, is 2) teach nothing."""
     rows = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))

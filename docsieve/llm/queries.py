@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docsieve.llm import jaccard_join, language_id, packing, quality_rules, secret_scan, substring_dedup, token_store, topk_search, warc
+from docsieve.llm import bpe, jaccard_join, language_id, packing, quality_rules, secret_scan, substring_dedup, token_store, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
+    return bpe.op4(_table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op5(_table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
     "op6_topk_search": op6_topk_search,
     "op8_token_store": op8_token_store,
