@@ -50,7 +50,7 @@ class Encoder:
         self._mark = self._alone(_MARK)
 
     def _alone(self, chunk: bytes) -> np.ndarray:
-        return np.array(self._tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, self.dtype)
+        return np.array(self._tokenizer.encode_batch_fast([chunk.decode()], add_special_tokens=False)[0].ids, self.dtype)
 
     def _together(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of each chunk, as bytes: one call for all, cut at the ids of the mark."""
