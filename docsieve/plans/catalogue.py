@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from docsieve.plans import documents
+
+QUERIES: dict = {**documents.QUERIES}
+ORACLE_SQL: dict = {**documents.ORACLE_SQL}
