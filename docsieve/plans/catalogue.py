@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from docsieve.plans import documents
+from docsieve.plans import documents, memos
 
-QUERIES: dict = {**documents.QUERIES}
-ORACLE_SQL: dict = {**documents.ORACLE_SQL}
+QUERIES: dict = {**documents.QUERIES, **memos.QUERIES}
+ORACLE_SQL: dict = {**documents.ORACLE_SQL, **memos.ORACLE_SQL}
