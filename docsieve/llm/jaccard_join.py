@@ -1,15 +1,18 @@
 """Exact Jaccard join of documents by their sets of word shingles, as a metric-space join.
 
-Jaccard distance is a metric, and a link is a distance of at most EPSILON = 1/4. Unrelated documents are at distance 1 from
-everything, so pivots drawn from all documents would put nearly all of them in one region and its boundary. Regions therefore start as
-cells around single shingles: a set is within reach of the cells of its rarest shingles, as many as a partner
-at distance EPSILON can't all miss. Then, cell by cell:
+A link is a Jaccard distance of at most 1/4. Unrelated documents are at distance 1 from everything, so pivots drawn from all
+documents would put nearly all of them in one region and its boundary. Regions therefore start as cells around single
+shingles: a set is within reach of the cells of its rarest shingles, as many as a partner can't all miss. Then, cell by cell:
 
-1. One document is the cell's pivot. Its distance to every other member is computed exactly, and members within EPSILON are linked
-   to it. They make its region, which is one component from now on: pairs inside it need no comparison.
+1. One document is the cell's pivot. Members linked to it make its region, one component from now on: pairs inside it need
+   no comparison.
 2. A cell that is one component, or whose pairs are all known, is finished. Members of the others join recursively with further
-   pivots. By the triangle inequality two members whose distances to a common pivot differ by more than EPSILON aren't linked, so
-   only the window of the boundary is compared.
+   pivots, and only with those in their window.
+
+Windows come from the triangle inequality. Each set has a histogram of its shingles over hash buckets; the L1 distance of two
+histograms is a metric and no larger than the sets' symmetric difference, which for a link is at most (|A| + |B|) / 7. So
+two members whose distances to a common pivot differ by more aren't linked, and neither are two whose own distance is
+larger. What passes is compared on the sets. With the empty set as a pivot the same inequality gives the window of sizes.
 
 Cells with few members left compare all pairs that remain. Every linked pair shares a cell and is either
 compared or known to be in one component, so the components are exact.
@@ -17,8 +20,8 @@ compared or known to be in one component, so the components are exact.
 Equal sets are one node throughout, so copies cost nothing. Rarity comes from counts of all shingles in a fixed number of
 buckets; it only decides an order, which may be any, so its coarseness costs speed and never a link.
 
-Defined cases: null and empty texts and texts without words have no shingles and link with nothing. Rows with equal
-ids and equal texts get equal rows. Columns beside id and text aren't read. Texts are read whole.
+Defined cases: null and empty texts and texts without words have no shingles and link with nothing, nor does a text of its own whose id
+is null. Rows with equal ids and equal texts get equal rows. Columns beside id and text aren't read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -34,10 +37,11 @@ from docsieve.llm import graph, shared
 
 #: A link: PARTS * intersection >= LEAST * union.
 LEAST, PARTS = 75, 100
-EPSILON = 1 - LEAST / PARTS
 WORDS = 5
-#: Buckets of the rarity counts: 2 ** 16 numbers, whatever the corpus.
-_BITS = 16
+#: Buckets of the rarity counts: 2 ** 18 numbers, whatever the corpus.
+_BITS = 18
+#: Least and most buckets of a histogram.
+_SKETCH = (16, 1 << 12)
 #: Members of a cell up to which all remaining pairs are compared at once.
 SMALL_CELL = 16
 
@@ -60,8 +64,8 @@ def _rarity(docs: DataFrame) -> np.ndarray:
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(1 << _BITS, np.int64)
-    for r in counts.collect():  # at most 2 ** 16 rows
-        out[r["bucket"]] = r["n"]
+    found = counts.toArrow()  # at most 2 ** _BITS rows
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -79,27 +83,45 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield a + i, np.unique(found[begin[i] : begin[i + 1]])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Histogram of a set over a power of two of buckets, about a quarter of its size; empty if a bucket overflows."""
+    low, high = _SKETCH
+    m = min(high, max(low, 1 << max(0, len(s).bit_length() - 2)))
+    counts = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def sketch_distance(a: bytes, b: bytes) -> tuple[int, int]:
+    """L1 distance of two histograms, folded to the smaller number of buckets; and that number. (0, 0) if either has none."""
+    if not a or not b:
+        return 0, 0
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    m = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, m).sum(0) - y.reshape(-1, m).sum(0)).sum()), m
+
+
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, two digests of the set, and the set's rarest shingles: as many as a partner within EPSILON can't all miss."""
+    """doc_id, n, two digests of the set, its histogram, and its rarest shingles: as many as a linked partner can't all miss."""
     rarity = docs.sparkSession.sparkContext.broadcast(_rarity(docs))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
         for batch in batches:
-            n, one, two, prefix = [], [], [], []
+            n, one, two, sketches, prefix = [], [], [], [], []
             for _, s in sets_of(batch.column(1)):
                 d = _digests(s)
                 least = -(-LEAST * len(s) // PARTS)
                 n.append(len(s))
                 one.append(d[0])
                 two.append(d[1])
+                sketches.append(sketch(s) if len(s) else b"")
                 prefix.append(s[np.lexsort((s, counts[_bucket(s)]))[: len(s) - least + 1]].view(np.int64) if len(s) else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["doc_id", "n", "d1", "d2", "sketch", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return shared.written(rows.mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
+    return shared.written(rows.mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, sketch binary, prefix array<long>"), "prefixes")
 
 
 def _cells(reps: DataFrame) -> DataFrame:
@@ -123,31 +145,72 @@ def _cells(reps: DataFrame) -> DataFrame:
     return shared.written(rows.mapInArrow(pair, "cell long, node long, n int, pivot long, pivot_n int"), "cells")
 
 
-def _sets(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes in heads (node, head, n, d1, d2), as a written table."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("string")).join(heads, "head").select("node", "n", "d1", "d2", "text")
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distances of the histograms of pairs (a, b), as a written table: a, b, near, level (its buckets), maybe (false: no link)."""
+    side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            near, level = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            maybe = (2 * PARTS - (PARTS - LEAST)) * near <= (PARTS - LEAST) * total
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(level), pa.array(maybe)], names=["a", "b", "near", "level", "maybe"])
+
+    return shared.written(both.mapInArrow(measure, "a long, b long, near long, level long, maybe boolean"), "near")
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """A sorted set, 6 bytes a shingle."""
+    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _with_sets(docs: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns `keep` of wanted (node, head, n, d1, d2, ...), each row with the packed set of its node. Texts stay in their tasks while wanted is small."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("string")).join(shared.small(wanted), "head").select("node", "n", "d1", "d2", "text", *keep)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
         for batch in batches:
-            n, one, two = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            node, n, one, two = (batch.column(k).to_numpy() for k in range(4))
             at, found = [], []
-            for i, s in sets_of(batch.column(4)):
-                if len(s) == n[i] and _digests(s) == (one[i], two[i]):
+            for i in range(batch.num_rows):
+                if node[i] != last or held is None:
+                    (_, s), last, held = next(sets_of(batch.column(4).slice(i, 1))), node[i], None
+                    if len(s) == n[i] and _digests(s) == (one[i], two[i]):
+                        held = _packed(s)
+                if held is not None:
                     at.append(i)
-                    found.append(s.view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), lists], names=["node", "shingles"])
+                    found.append(held)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(5 + k).take(take) for k in range(len(keep))), pa.array(found, pa.binary())], names=[*keep, "shingles"])
+
+    return rows.mapInArrow(build, "".join(f"{k} long, " for k in keep) + "shingles binary")
 
-    return shared.written(rows.mapInArrow(build, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are linked, as a written table."""
+    pairs = shared.written(pairs.join(nodes.withColumnRenamed("node", "a"), "a").withColumn("node", F.col("a")), "pairs")
+    others = shared.written(nodes.join(pairs.select(F.col("b").alias("node")).distinct(), "node"), "others")
+    left = _with_sets(docs, pairs, ["a", "b"]).withColumnRenamed("shingles", "s_a")
+    right = _with_sets(docs, others.withColumn("b", F.col("node")), ["b"]).withColumnRenamed("shingles", "s_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                common = len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True))
+                good.append(PARTS * common >= LEAST * (len(x) // 6 + len(y) // 6 - common))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact distances of pairs (a, b), as a written table: a, b, distance, linked."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"), (F.size("s_a") + F.size("s_b")).cast("long").alias("total"))
-    return shared.written(both.select("a", "b", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("distance"), (PARTS * F.col("common") >= LEAST * (F.col("total") - F.col("common"))).alias("linked")), "distances")
+    return shared.written(left.join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long"), "links")
 
 
 def _sizes_fit(a: str, b: str):
@@ -155,54 +218,53 @@ def _sizes_fit(a: str, b: str):
 
 
 def _unfinished(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (cell, node, n, near, comp, size) of the cells that still hold two components; size counts members."""
+    """Members (cell, node, n, near, level, comp, size) of the cells that still hold two components; size counts members."""
     named = cells.drop("comp").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = shared.kept(named)
     open_cells = shared.kept(named.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("cell", "size"))
     return shared.kept(named.drop("size").join(open_cells, "cell"))
 
 
-def _recursion(cells: DataFrame, first: DataFrame, sets: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+def _recursion(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, cells: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
     """Links among the members of cells beyond those to the first pivots; (a, b), with those given."""
-    near = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("distance").alias("near"))
-    members = cells.join(near, ["node", "pivot"], "left").select("cell", "node", "n", F.coalesce("near", F.lit(1.0)).alias("near"))
-    rest, n_pivots = _unfinished(members, labels), 4
-    in_window = F.abs(F.col("near") - F.col("near_b")) <= EPSILON + 1e-9
-    while True:
+    near = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "near", "level")
+    members = cells.join(near, ["node", "pivot"], "left").select("cell", "node", "n", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("level", F.lit(0)).alias("level"))
+    rest, n_pivots = _unfinished(members, graph.components(links)), 4
+    # Distances to the pivot by different numbers of buckets, or by none, bound nothing.
+    in_window = (F.col("level") != F.col("level_b")) | (F.col("level") == 0) | ((2 * PARTS - (PARTS - LEAST)) * F.abs(F.col("near") - F.col("near_b")) <= (PARTS - LEAST) * (F.col("n") + F.col("n_b")))
+    while not rest.isEmpty():
         small = rest.where(F.col("size") <= SMALL_CELL)
         large = rest.where(F.col("size") > SMALL_CELL)
         rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node"), "node"))
         pivots = shared.kept(large.withColumn("rank", rank).where(F.col("rank") <= n_pivots).drop("rank"))
-        other = lambda df: df.select("cell", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("near").alias("near_b"), F.col("comp").alias("comp_b"))
+        other = lambda df: df.select("cell", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("near").alias("near_b"), F.col("level").alias("level_b"), F.col("comp").alias("comp_b"))
         met = small.join(other(small), "cell").where("node < b").unionByName(large.join(other(pivots), "cell").where("node <> b"))
         pairs = met.where(F.col("comp") != F.col("comp_b")).where(in_window & _sizes_fit("n", "n_b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        found = _measured(pairs, sets)
-        links = links.unionByName(found.where("linked").select("a", "b"))
+        links = links.unionByName(_linked(docs, nodes, _near(pairs, sketches).where("maybe").select("a", "b")))
         # The pivots have met all of their cell. What is left of a large cell goes on, unless links have made it one component.
         rest = shared.kept(large.join(pivots.select("cell", "node"), ["cell", "node"], "left_anti"))
-        if rest.isEmpty():
-            return links
-        labels = graph.components(links)
-        rest, n_pivots = _unfinished(rest, labels), 2 * n_pivots
-        if rest.isEmpty():
-            return links
+        if not rest.isEmpty():
+            rest, n_pivots = _unfinished(rest, graph.components(links)), 2 * n_pivots
+    return links
 
 
 def join(docs: DataFrame) -> DataFrame:
     """Per document of a table (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    docs = docs.select("doc_id", "text")
     cut = _prefixes(docs)
+    if not cut.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = shared.written(docs.distinct(), "once")  # so that a node's set is built once
     keys = ["d1", "d2", "n"]
     reps = cut.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("head")).withColumn("node", F.monotonically_increasing_id())
     reps = shared.written(reps, "nodes")
-    cells = _cells(cut.join(reps.withColumnRenamed("head", "doc_id"), [*keys, "doc_id"]).select("node", "n", "prefix"))
-    touched = cells.select("node").distinct().unionByName(cells.select(F.col("pivot").alias("node")).distinct()).distinct()
-    sets = _sets(docs, reps.join(touched, "node"))
-    pairs = cells.where(_sizes_fit("n", "pivot_n")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = _measured(pairs, sets)
-    links = first.where("linked").select("a", "b")
+    own = cut.join(shared.small(reps.withColumnRenamed("head", "doc_id")), [*keys, "doc_id"])
+    sketches = own.select("node", "n", "sketch")
+    cells = _cells(own.select("node", "n", "prefix"))
+    first = _near(cells.where(_sizes_fit("n", "pivot_n")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sketches)
+    links = _linked(docs, reps, first.where("maybe").select("a", "b"))
     # Cells of two are finished; of the others, all members but the pivot go on.
     more = shared.kept(cells.groupBy("cell").count().where("count > 1").select("cell"))
-    links = _recursion(cells.join(more, "cell"), first, sets, graph.components(links), links)
+    links = _recursion(docs, reps, sketches, cells.join(more, "cell"), first, links)
     labels = graph.components(links)
     named = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = shared.kept(named.groupBy("component").agg(F.min("head").alias("component_id")))

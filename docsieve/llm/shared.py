@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Bytes of text that a kernel takes at a time.
 SLICE_BYTES = 4 << 20
@@ -45,6 +46,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a written table of a few numbers a row goes to every task.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of a few numbers a row, broadcast in a join if it has at most so many rows; else the join shuffles."""
+    return broadcast(df) if df.count() <= limit else df
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts (null: empty) one after the other, and the offsets of each."""
     if isinstance(column, pa.ChunkedArray):
