@@ -205,7 +205,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = a.as_py(), b.as_py()
                 common = len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True))
                 good.append(PARTS * common >= LEAST * (len(x) // 6 + len(y) // 6 - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))

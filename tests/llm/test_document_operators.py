@@ -206,7 +206,7 @@ def test_quality_ablation(awkward):
 def test_topk_search(spark):
     rng = np.random.default_rng(2)
     rows = [(k % 180, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for k in range(200)]
-    rows += [(300, None), (350, []), (400, [1.0, float("nan"), 0, 0, 0, 0]), (450, [None, 1.0, 0, 0, 0, 0]), (500, [float("inf")] * 6), (550, [0.0] * 6), (None, [1.0] * 6)]
+    rows += [(300, None), (350, []), (400, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (450, [None, 1.0, 0.0, 0.0, 0.0, 0.0]), (500, [float("inf")] * 6), (550, [0.0] * 6), (None, [1.0] * 6)]
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
