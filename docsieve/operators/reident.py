@@ -34,17 +34,24 @@ def seeds(found: DataFrame, reach: int = 500, least: int = 3, key: str = "doc_id
     kind = found.schema[key].dataType.simpleString()
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_char", "end_char", "rule"]).reset_index(drop=True)
+        ordered = sorted(zip(rows.start_char, rows.end_char, rows.rule, strict=True))
         out, i = [], 0
-        while i < len(rows):
-            near = rows[(rows.index >= i) & (rows.start_char <= rows.start_char[i] + reach)]
-            if near.rule.nunique() >= least:
-                out.append((rows[key][i], int(near.start_char.min()), int(near.end_char.max()), int(near.rule.nunique())))
-                i = int(near.index.max()) + 1
+        while i < len(ordered):
+            j = i
+            while j < len(ordered) and ordered[j][0] <= ordered[i][0] + reach:
+                j += 1
+            near = ordered[i:j]
+            names = len({rule for _, _, rule in near})
+            if names >= least:
+                out.append((rows[key].iloc[0], near[0][0], max(e for _, e, _ in near), names))
+                i = j
             else:
                 i += 1
         return pd.DataFrame(out, columns=[key, "start_char", "end_char", "n_rules"])
 
+    # Documents with fewer rules have no cluster; they are most, and stay in the JVM.
+    many = found.groupBy(key).agg(F.countDistinct("rule").alias("n")).where(F.col("n") >= least).select(key)
+    found = found.join(many, key, "left_semi")
     return found.select(key, "rule", "start_char", "end_char").groupBy(key).applyInPandas(walk, f"`{key}` {kind}, start_char int, end_char int, n_rules int")
 
 

@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from docsieve.plans import documents, memos
+from docsieve.plans import audit, documents, memos, quality
 
-QUERIES: dict = {**documents.QUERIES, **memos.QUERIES}
-ORACLE_SQL: dict = {**documents.ORACLE_SQL, **memos.ORACLE_SQL}
+QUERIES: dict = {**documents.QUERIES, **memos.QUERIES, **audit.QUERIES, **quality.QUERIES}
+ORACLE_SQL: dict = {**documents.ORACLE_SQL, **memos.ORACLE_SQL, **audit.ORACLE_SQL, **quality.ORACLE_SQL}
