@@ -34,7 +34,8 @@ def once(events: DataFrame, fields: list[str], within: str = "1 day") -> DataFra
 def rate_limited(events: DataFrame, key: str, limit: int, window_s: int) -> DataFrame:
     """journal.rate_limited over a stream: the state of a key is the times of its allowed calls in the window, at most `limit`; idle keys expire."""
     kind = events.schema[key].dataType.simpleString()
-    rows = events.where(F.col(key).isNotNull()).select("event_id", key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    timed = events.where(F.col(key).isNotNull()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours")
+    rows = timed.select("event_id", key, "ts", F.unix_micros("ts").alias("t"))
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,10 +50,10 @@ def rate_limited(events: DataFrame, key: str, limit: int, window_s: int) -> Data
             if allowed[-1]:
                 log.append(int(t))
         state.update((log,))
-        state.setTimeoutDuration(window_s * 1000)
+        state.setTimeoutTimestamp(max(int(calls["t"].max()) // 1000, state.getCurrentWatermarkMs()) + window_s * 1000)
         yield calls[["event_id", key]].assign(allowed=allowed)
 
-    return rows.groupBy(key).applyInPandasWithState(step, f"event_id long, {key} {kind}, allowed boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"event_id long, {key} {kind}, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reviews(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
