@@ -66,6 +66,67 @@ def iso_date(value: Column) -> Column:
     return parsed.isNotNull() & F.year(parsed).between(1900, 2100)
 
 
+def last_digit(value: Column, expected: Column) -> Column:
+    return F.element_at(digits(value), -1) == expected
+
+
+def jp_my_number(value: Column) -> Column:
+    rest = weighted(value, [6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2]) % 11
+    return last_digit(value, F.when(rest <= 1, 0).otherwise(11 - rest))
+
+
+def kr_business_registration(value: Column) -> Column:
+    tens = F.floor(F.get(digits(value), F.lit(8)) * 5 / 10)
+    return last_digit(value, (10 - (weighted(value, [1, 3, 7, 1, 3, 7, 1, 3, 5]) + tens) % 10) % 10)
+
+
+def hk_hkid(value: Column) -> Column:
+    """One letter (A is 10), six digits, and a check character (A is 10); a missing second letter counts 36."""
+    total = 36 * 9 + (F.ascii(value) - 55) * 8 + weighted(F.substring(value, 2, 6), [7, 6, 5, 4, 3, 2])
+    check = F.substring(value, 8, 1)
+    return (total + F.when(check == "A", 10).otherwise(check.try_cast("int"))) % 11 == 0
+
+
+def uk_nin(value: Column) -> Column:
+    return ~value.rlike("^(?:[DFIQUV]|.[DFIQUVO]|BG|GB|KN|NK|NT|TN|ZZ)")
+
+
+#: Prefixes of employer numbers that are given out; fixed values.
+EIN_PREFIXES = (
+    "01 02 03 04 05 06 10 11 12 13 14 15 16 20 21 22 23 24 25 26 27 30 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48 "
+    "50 51 52 53 54 55 56 57 58 59 60 61 62 63 64 65 66 67 68 71 72 73 74 75 76 77 80 81 82 83 84 85 86 87 88 90 91 92 93 94 95 98 99"
+).split()
+#: Characters and weights of the credit code, and the permutation of the Aadhaar checksum; fixed values.
+USCC_ALPHABET, USCC_WEIGHTS = "0123456789ABCDEFGHJKLMNPQRTUWXY", [pow(3, k, 31) for k in range(17)]
+_TURN = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
+
+
+def dihedral(a: int, b: int) -> int:
+    """The product of the group of the pentagon: 0-4 turn it, 5-9 mirror and turn it."""
+    turned = (a + b) % 5 if a < 5 else (a - b) % 5
+    return turned + 5 * ((a < 5) != (b < 5))
+
+
+PRODUCTS = [[dihedral(a, b) for b in range(10)] for a in range(10)]
+TURNS = [list(range(10))]
+while len(TURNS) < 8:
+    TURNS.append([_TURN[x] for x in TURNS[-1]])
+
+
+def in_aadhaar(value: Column) -> Column:
+    """Begins with 2-9, isn't one digit over and over, and the product of its permuted digits, last first, is 0."""
+    flat = lambda table: F.array(*(F.lit(x) for row in table for x in row))
+    turned = F.transform(F.reverse(digits(value)), lambda d, i: F.get(flat(TURNS), (i % 8) * 10 + d))
+    product = F.aggregate(turned, F.lit(0), lambda s, x: F.get(flat(PRODUCTS), s * 10 + x))
+    return (F.get(digits(value), F.lit(0)) >= 2) & (F.size(F.array_distinct(digits(value))) > 1) & (product == 0)
+
+
+def cn_uscc(value: Column) -> Column:
+    places = F.transform(F.split(F.upper(value), ""), lambda c: F.instr(F.lit(USCC_ALPHABET), c) - 1)
+    pairs = F.zip_with(F.slice(places, 1, 17), F.array(*(F.lit(w) for w in USCC_WEIGHTS)), lambda d, w: d * w)
+    return F.element_at(places, 18) == (31 - F.aggregate(pairs, F.lit(0), lambda s, x: s + x) % 31) % 31
+
+
 CHECKS: dict[str, Callable[[Column], Column]] = {
     "luhn": luhn,
     "ipv4": ipv4,
@@ -76,5 +137,17 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
     "au_abn": au_abn,
     "cn_resident_id": cn_resident_id,
     "iso_date": iso_date,
+    "us_ein": lambda v: F.substring(v, 1, 2).isin(EIN_PREFIXES),
+    "us_itin": lambda v: F.substring(v, 5, 2).rlike("5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9]"),
+    "uk_nin": uk_nin,
+    "au_acn": lambda v: last_digit(v, (10 - weighted(v, [8, 7, 6, 5, 4, 3, 2, 1]) % 10) % 10),
+    "hk_hkid": hk_hkid,
+    "jp_my_number": jp_my_number,
+    "jp_corporate_number": lambda v: F.get(digits(v), F.lit(0)) == 9 - weighted(v, [0] + [2, 1] * 6) % 9,
+    "kr_rrn": lambda v: last_digit(v, (11 - weighted(v, [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]) % 11) % 10),
+    "kr_business_registration": kr_business_registration,
+    "in_aadhaar": in_aadhaar,
+    "th_national_id": lambda v: v.rlike("^[1-8]") & last_digit(v, (11 - weighted(v, list(range(13, 1, -1))) % 11) % 10),
+    "cn_uscc": cn_uscc,
     "adult_age": lambda v: v.cast("int").between(20, 120),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docsieve.functions import checks
 from docsieve.functions.rules import SEVERITY_SCORE, Rule
 
 
@@ -24,6 +25,18 @@ CHECKS = {
     "au_abn": f"({_weighted('m', [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19])} - 10) % 89 = 0",
     "cn_resident_id": f"upper(m[18]) = substr('10X98765432', ({_weighted('m[1:17]', [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2])} % 11 + 1)::INT, 1)",
     "iso_date": "try_cast(m AS DATE) IS NOT NULL AND year(try_cast(m AS DATE)) BETWEEN 1900 AND 2100",
+    "us_ein": f"m[1:2] IN ({', '.join(map(quoted, checks.EIN_PREFIXES))})",
+    "us_itin": "m[5:6]::INT BETWEEN 50 AND 65 OR m[5:6]::INT BETWEEN 70 AND 88 OR m[5:6]::INT BETWEEN 90 AND 92 OR m[5:6]::INT >= 94",
+    "uk_nin": "m[1] NOT IN ('D', 'F', 'I', 'Q', 'U', 'V') AND m[2] NOT IN ('D', 'F', 'I', 'Q', 'U', 'V', 'O') AND m[1:2] NOT IN ('BG', 'GB', 'KN', 'NK', 'NT', 'TN', 'ZZ')",
+    "au_acn": f"({_weighted('m', [8, 7, 6, 5, 4, 3, 2, 1])} + m[9]::INT) % 10 = 0",
+    "hk_hkid": f"(324 + (ascii(m) - 55) * 8 + {_weighted('m[2:7]', [7, 6, 5, 4, 3, 2])} + CASE m[8] WHEN 'A' THEN 10 ELSE try_cast(m[8] AS INT) END) % 11 = 0",
+    "jp_my_number": f"m[12]::INT = [0, 0, 9, 8, 7, 6, 5, 4, 3, 2, 1][{_weighted('m', [6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2])} % 11 + 1]",
+    "jp_corporate_number": "m[1]::INT = 9 - list_sum(list_transform(string_split(reverse(m[2:13]), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * c::INT)) % 9",
+    "kr_rrn": f"m[14]::INT = (11 - {_weighted('m', [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5])} % 11) % 10",
+    "kr_business_registration": f"({_weighted('m', [1, 3, 7, 1, 3, 7, 1, 3, 5])} + m[11]::INT * 5 // 10 + m[12]::INT) % 10 = 0",
+    "in_aadhaar": f"m[1] >= '2' AND len(list_distinct(string_split(regexp_replace(m, '[^0-9]', '', 'g'), ''))) > 1 AND list_reduce(list_prepend(0, list_transform(string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), ''), lambda c, i: {checks.TURNS}[(i - 1) % 8 + 1][c::INT + 1])), lambda a, b: {checks.PRODUCTS}[a + 1][b + 1]) = 0",
+    "th_national_id": f"m[1] BETWEEN '1' AND '8' AND m[17]::INT = (11 - {_weighted('m', list(range(13, 1, -1)))} % 11) % 10",
+    "cn_uscc": f"(list_sum(list_transform(string_split(m[1:17], ''), lambda c, i: (strpos('{checks.USCC_ALPHABET}', c) - 1) * {checks.USCC_WEIGHTS}[i])) + strpos('{checks.USCC_ALPHABET}', m[18]) - 1) % 31 = 0",
     "adult_age": "m::INT BETWEEN 20 AND 120",
 }
 
