@@ -20,18 +20,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return shared.kept(moved.where("u <> v").distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one smaller neighbour, and those that have one are nobody else's: then the steps have come to an end."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up = 1 AND down > 0)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b), component being its smallest node. Nodes that are their own component's smallest are left out."""
     edges = shared.kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = _mark(edges)
-    while before[0]:
+    while not _is_stars(edges):
         edges = _star(_star(edges, True), False)
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component), as components() gives them, after further links (a, b). Only the components that these links touch are worked on."""
+    if links.isEmpty():
+        return labels
+    ends = links.select("a", "b")
+    for k in "ab":
+        ends = ends.join(labels.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")), k, "left")
+    more = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return shared.kept(moved.select("node", F.coalesce("to", "component").alias("component")).unionAll(more))

@@ -227,10 +227,11 @@ def _unfinished(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _recursion(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, cells: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
-    """Links among the members of cells beyond those to the first pivots; (a, b), with those given."""
+    """Components (node, component) by the links given, to the first pivots, and by those among the members of cells."""
     near = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "near", "level")
     members = cells.join(near, ["node", "pivot"], "left").select("cell", "node", "n", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("level", F.lit(0)).alias("level"))
-    rest, n_pivots = _unfinished(members, graph.components(links)), 4
+    labels = graph.components(links)
+    rest, n_pivots = _unfinished(members, labels), 4
     # Distances to the pivot by different numbers of buckets, or by none, bound nothing.
     in_window = (F.col("level") != F.col("level_b")) | (F.col("level") == 0) | ((2 * PARTS - (PARTS - LEAST)) * F.abs(F.col("near") - F.col("near_b")) <= (PARTS - LEAST) * (F.col("n") + F.col("n_b")))
     while not rest.isEmpty():
@@ -241,12 +242,12 @@ def _recursion(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, cells: Da
         other = lambda df: df.select("cell", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("near").alias("near_b"), F.col("level").alias("level_b"), F.col("comp").alias("comp_b"))
         met = small.join(other(small), "cell").where("node < b").unionByName(large.join(other(pivots), "cell").where("node <> b"))
         pairs = met.where(F.col("comp") != F.col("comp_b")).where(in_window & _sizes_fit("n", "n_b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        links = links.unionByName(_linked(docs, nodes, _near(pairs, sketches).where("maybe").select("a", "b")))
+        labels = graph.extended(labels, _linked(docs, nodes, _near(pairs, sketches).where("maybe").select("a", "b")))
         # The pivots have met all of their cell. What is left of a large cell goes on, unless links have made it one component.
         rest = shared.kept(large.join(pivots.select("cell", "node"), ["cell", "node"], "left_anti"))
         if not rest.isEmpty():
-            rest, n_pivots = _unfinished(rest, graph.components(links)), 2 * n_pivots
-    return links
+            rest, n_pivots = _unfinished(rest, labels), 2 * n_pivots
+    return labels
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -265,8 +266,7 @@ def join(docs: DataFrame) -> DataFrame:
     links = _linked(docs, reps, first.where("maybe").select("a", "b"))
     # Cells of two are finished; of the others, all members but the pivot go on.
     more = shared.kept(cells.groupBy("cell").count().where("count > 1").select("cell"))
-    links = _recursion(docs, reps, sketches, cells.join(more, "cell"), first, links)
-    labels = graph.components(links)
+    labels = _recursion(docs, reps, sketches, cells.join(more, "cell"), first, links)
     named = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = shared.kept(named.groupBy("component").agg(F.min("head").alias("component_id")))
     groups = shared.written(named.join(least, "component").select(*keys, "component_id"), "groups")

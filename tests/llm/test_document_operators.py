@@ -69,6 +69,8 @@ def test_jaccard_join_empty(empty):
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (1, 1)], "a long, b long")
     assert sorted(map(tuple, graph.components(edges).collect())) == [(3, 2), (4, 2), (5, 2), (8, 7), (9, 7)]
+    more = spark.createDataFrame([(9, 4), (12, 11), (4, 2)], "a long, b long")
+    assert sorted(map(tuple, graph.extended(graph.components(edges), more).collect())) == [(3, 2), (4, 2), (5, 2), (7, 2), (8, 2), (9, 2), (12, 11)]
 
 
 def _exact_passages(rows):
