@@ -106,6 +106,30 @@ def test_passages_cover_exact_repeats(table, request, spark, sf_dir):
         assert words <= found.get(i, set()), i
 
 
+def _misses(docs):
+    """Documents whose words in exact passages are not all found, with those words."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found: dict = {}
+    for r in substring_dedup.repeated_passages(docs).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    exact = _exact_passages(rows)
+    return exact, {i: words - found.get(i, set()) for i, words in exact.items() if not words <= found.get(i, set())}
+
+
+@pytest.mark.parametrize("seed, size", [(50, 30), (1863, 48)])
+def test_passages_around_a_common_phrase(spark, seed, size):
+    """Exact passages of 50 to 71 words around a boilerplate that hundreds of smaller documents share; all minima of the second lie deep inside it."""
+    common = prose(seed, size)
+    rows = [(k, f"{prose(5000 + k, 60)} {common} {prose(6000 + k, 60)}") for k in range(1, 301)]
+    for n in range(50, 72):
+        for t, before in enumerate((0, (n - size) // 2, n - size)):
+            passage = f"{prose(20000 + 100 * n + t, before)} {common} {prose(20050 + 100 * n + t, n - size - before)}".strip()
+            rows += [(1000 + 10 * n + 2 * t + j, f"{prose(7000 + 10 * n + 2 * t + j, 40)} {passage} {prose(8000 + 10 * n + 2 * t + j, 40)}") for j in range(2)]
+    exact, missed = _misses(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(exact) >= 66
+    assert not missed
+
+
 def test_without_passages_keeps_first_and_clean(awkward):
     once = awkward.dropDuplicates(["doc_id"])
     out = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(once, substring_dedup.repeated_passages(once)).collect()}
