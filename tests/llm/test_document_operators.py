@@ -130,6 +130,18 @@ def test_passages_around_a_common_phrase(spark, seed, size):
     assert not missed
 
 
+def test_passages_of_members_that_met_the_pivot(spark):
+    """A and B share a passage, B and C another that overlaps it, A and C too little."""
+    rows = []
+    for k in range(40):
+        w = prose(300 + k, 100).split(" ")
+        for j, (s, e) in enumerate(((0, 89), (0, 100), (40, 100))):
+            rows.append((3 * k + j + 1, f"{prose(900 + 3 * k + j, 30)} {' '.join(w[s:e])} {prose(1900 + 3 * k + j, 30)}"))
+    exact, missed = _misses(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(exact) == 80
+    assert not missed
+
+
 def test_without_passages_keeps_first_and_clean(awkward):
     once = awkward.dropDuplicates(["doc_id"])
     out = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(once, substring_dedup.repeated_passages(once)).collect()}
