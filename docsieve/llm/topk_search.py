@@ -10,7 +10,8 @@ Grid: each block has a bounded number of rows whatever the table's size, so a ta
 copied once for each block of the other side.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part. Ties go to the smaller
-id. Rows with equal ids are candidates each; a query never meets candidates of its own id. With fewer than k candidates all are
+id. Rows with equal ids are candidates each, and queries each, with an answer a row; equal queries are searched once and answered
+as often as they stand there. A query never meets candidates of its own id. With fewer than k candidates all are
 returned; an empty side gives an empty result. Columns beside id and vector aren't read.
 """
 
@@ -54,7 +55,7 @@ def _best(scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
 
 
 def _tile(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "key2": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
     if not len(queries) or not len(rows):
         return empty
     rows = rows.sort_values("id", kind="stable")
@@ -62,6 +63,7 @@ def _tile(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     postings = [np.flatnonzero(values[:, d]) for d in range(values.shape[1])]
     weights = [values[at, d] for d, at in enumerate(postings)]
     names, terms = queries["id"].to_numpy(np.int64), _matrix(queries["v"])
+    keys = {c: queries[c].to_numpy(np.int64) for c in ("key", "key2", "n")}
     out = []
     for first in range(0, len(names), _ACCUMULATORS):
         block = terms[first : first + _ACCUMULATORS]
@@ -75,7 +77,7 @@ def _tile(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
         for q in range(len(block)):
             name = names[first + q]
             best = _best(scores[q], ids == name, k)
-            out.append(pd.DataFrame({"query_id": name, "vec_id": ids[best], "score": scores[q][best]}))
+            out.append(pd.DataFrame({"query_id": name, **{c: x[first + q] for c, x in keys.items()}, "vec_id": ids[best], "score": scores[q][best]}))
     return pd.concat(out, ignore_index=True) if out else empty
 
 
@@ -84,6 +86,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, scale: int = 256) ->
     spark = rows.sparkSession
     ready = lambda df: df.select(F.col("id").cast("long").alias("id"), quantised(F.col("vector"), scale).alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
     queries, rows = ready(queries), ready(rows)
+    # Rows of one id are told apart by digests of their vectors; equal rows are one query, n times.
+    queries = queries.groupBy("id", "v").agg(F.count("*").alias("n")).withColumns({"key": F.xxhash64("v"), "key2": F.xxhash64(F.lit(1), "v")})
     n_queries, n_rows = queries.count(), rows.count()
     deep, wide = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // ROW_BLOCK), min(spark.sparkContext.defaultParallelism, n_rows // 1024))
     # A row goes to one line of the grid by its place in a round-robin, which evens out any ids, and to every cell of the line.
@@ -93,10 +97,11 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, scale: int = 256) ->
     found = (
         asked.groupBy("a", "b")
         .cogroup(there.groupBy("a", "b"))
-        .applyInPandas(lambda q, r: _tile(q, r, k), "query_id long, vec_id long, score long")
+        .applyInPandas(lambda q, r: _tile(q, r, k), "query_id long, key long, key2 long, n long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id", "key", "key2").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op6(embeddings: DataFrame, k: int = 5) -> DataFrame:

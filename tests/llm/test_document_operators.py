@@ -260,6 +260,20 @@ def test_topk_search(spark):
     assert topk_search.op6(table.where("false")).collect() == []
 
 
+def test_topk_search_answers_every_query_row(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k % 120, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for k in range(200)]
+    rows += [rows[50]] * 2 + [rows[0]]
+    good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    expected = []
+    for name, v in good:
+        if name % 50 == 0:
+            best = sorted(((-int(v @ w), j) for j, w in good if j != name))[:5]
+            expected += [(name, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    got = sorted(map(tuple, topk_search.op6(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == sorted(expected)
+
+
 def test_warc_round_trip(spark, sf_dir):
     big = "<p>" + "y" * 1500
     rows = [(1, "http://a.example.com/x?q=1", big), (2, "https://B.example.com:443/", big), (3, None, None), (4, "not a url", "small é"), (5, "http://a.example.com/x?q=1", "small é"), (None, "http://n.example.com", "nothing"), (7, "http://c.example.com/\r\nInjected: yes", big)]
