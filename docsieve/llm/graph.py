@@ -12,12 +12,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step. Edges (u, v) have u > v. The least neighbour of a node is an aggregate; joining it back is a plain join of two shuffled tables, which adaptive execution splits at hubs."""
     if large:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = shared.kept(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = shared.kept(edges.groupBy("u").agg(F.min("v").alias("m")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return shared.kept(moved.where("u <> v").distinct())
+    return shared.written(moved.where("u <> v").distinct(), "edges")
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -27,20 +27,11 @@ def _is_stars(edges: DataFrame) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of links (a, b), component being its smallest node. Nodes that are their own component's smallest are left out."""
-    edges = shared.kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """(node, component) for every node of links (a, b), component being its smallest node. Nodes that are their own component's smallest are left out. A written table."""
+    edges = shared.written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _is_stars(edges):
-        edges = _star(_star(edges, True), False)
+        half = _star(edges, True)
+        shared.discard(edges)
+        edges = _star(half, False)
+        shared.discard(half)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, component), as components() gives them, after further links (a, b). Only the components that these links touch are worked on."""
-    if links.isEmpty():
-        return labels
-    ends = links.select("a", "b")
-    for k in "ab":
-        ends = ends.join(labels.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")), k, "left")
-    more = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
-    moved = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return shared.kept(moved.select("node", F.coalesce("to", "component").alias("component")).unionAll(more))

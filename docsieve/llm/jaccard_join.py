@@ -1,21 +1,19 @@
 """Exact Jaccard join of documents by their sets of word shingles, as a metric-space join.
 
-A link is a Jaccard distance of at most 1/4. Unrelated documents are at distance 1 from everything, so pivots drawn from all
-documents would put nearly all of them in one region and its boundary. Regions therefore start as cells around single
-shingles: a set is within reach of the cells of its rarest shingles, as many as a partner can't all miss. Then, cell by cell:
+A link is a Jaccard distance of at most 1/4. Sets that link share one of their rarest shingles, as many as a partner can't all miss (a cell).
+Unrelated documents are at distance 1 from everything, so pivots are drawn where sets meet:
 
-1. One document is the cell's pivot. Members linked to it make its region, one component from now on: pairs inside it need
-   no comparison.
-2. A cell that is one component, or whose pairs are all known, is finished. Members of the others join recursively with further
-   pivots, and only with those in their window.
+1. The most central set of each cell (the one that meets most others, over all its cells) is a pivot; the sets of the cells that it leads
+   are its region. Two sets that link stand together in the region of each cell that they share, so no pair crosses regions.
+2. A region of more than REGION sets is split: PIVOTS pivots of its own are drawn, and every set is measured to each of them. It goes to the
+   Voronoi region of the nearest, and is replicated to those of others at most 2 * 1/4 farther, which a partner can have as its nearest. The new
+   regions join recursively, by pivots and distances of their own. Sets at 3/4 or more from all pivots are a region too: a partner may be at distance 1 from all.
+3. A region that is small enough joins within one task, by the same steps: Voronoi regions and boundary windows down to a few sets,
+   where only sets are compared whose distances to the pivot differ by at most 1/4.
 
-Windows come from the triangle inequality. Each set has a histogram of its shingles over hash buckets; the L1 distance of two
-histograms is a metric and no larger than the sets' symmetric difference, which for a link is at most (|A| + |B|) / 7. So
-two members whose distances to a common pivot differ by more aren't linked, and neither are two whose own distance is
-larger. What passes is compared on the sets. With the empty set as a pivot the same inequality gives the window of sizes.
-
-Cells with few members left compare all pairs that remain. Every linked pair shares a cell and is either
-compared or known to be in one component, so the components are exact.
+Sets at most 1/4 from a pivot are one component with it, and pairs within a component need no comparison; a region that is one component is
+finished. Where all distances are alike, so that a split would leave a region nearly whole, the sets outside its
+largest component known ask all the others, in blocks of bounded size. Every linked pair is therefore compared or known to be in one component.
 
 Equal sets are one node throughout, so copies cost nothing. Rarity comes from counts of all shingles in a fixed number of
 buckets; it only decides an order, which may be any, so its coarseness costs speed and never a link.
@@ -38,12 +36,14 @@ from docsieve.llm import graph, shared
 #: A link: PARTS * intersection >= LEAST * union.
 LEAST, PARTS = 75, 100
 WORDS = 5
+#: The distance of a link, and what is allowed for rounding where distances are compared.
+_LINK, _SLACK = 1 - LEAST / PARTS, 1e-9
 #: Buckets of the rarity counts: 2 ** 18 numbers, whatever the corpus.
 _BITS = 18
-#: Least and most buckets of a histogram.
-_SKETCH = (16, 1 << 12)
-#: Members of a cell up to which all remaining pairs are compared at once.
-SMALL_CELL = 16
+#: Sets, and shingles in them, up to which a region joins within one task; pivots of a split; sets of a region that are compared without a split.
+REGION, REGION_SHINGLES, PIVOTS, LEAF = 128, 1 << 18, 16, 24
+#: Stands for the pivot of the sets that are far from all pivots; nodes have numbers from 0.
+REST = -1
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -83,192 +83,285 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield a + i, np.unique(found[begin[i] : begin[i + 1]])
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Histogram of a set over a power of two of buckets, about a quarter of its size; empty if a bucket overflows."""
-    low, high = _SKETCH
-    m = min(high, max(low, 1 << max(0, len(s).bit_length() - 2)))
-    counts = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
-
-
-def sketch_distance(a: bytes, b: bytes) -> tuple[int, int]:
-    """L1 distance of two histograms, folded to the smaller number of buckets; and that number. (0, 0) if either has none."""
-    if not a or not b:
-        return 0, 0
-    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
-    m = min(len(x), len(y))
-    return int(np.abs(x.reshape(-1, m).sum(0) - y.reshape(-1, m).sum(0)).sum()), m
-
-
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, two digests of the set, its histogram, and its rarest shingles: as many as a linked partner can't all miss."""
+    """doc_id, n, two digests of the set, and its rarest shingles: as many as a linked partner can't all miss."""
     rarity = docs.sparkSession.sparkContext.broadcast(_rarity(docs))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
         for batch in batches:
-            n, one, two, sketches, prefix = [], [], [], [], []
+            n, one, two, prefix = [], [], [], []
             for _, s in sets_of(batch.column(1)):
                 d = _digests(s)
-                least = -(-LEAST * len(s) // PARTS)
                 n.append(len(s))
                 one.append(d[0])
                 two.append(d[1])
-                sketches.append(sketch(s) if len(s) else b"")
-                prefix.append(s[np.lexsort((s, counts[_bucket(s)]))[: len(s) - least + 1]].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                prefix.append(s[np.lexsort((s, counts[_bucket(s)]))[: len(s) - -(-LEAST * len(s) // PARTS) + 1]].view(np.int64) if len(s) else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["doc_id", "n", "d1", "d2", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, one, two)), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return shared.written(rows.mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, sketch binary, prefix array<long>"), "prefixes")
+    return shared.written(rows.mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
 
 
-def _cells(reps: DataFrame) -> DataFrame:
-    """Cells of two or more nodes: (cell, node, n, pivot, pivot_n), a row for each member but the pivot, which is the smallest node."""
-    rows = reps.select(F.explode("prefix").alias("cell"), "node", F.col("n").cast("int").alias("n")).repartition("cell").sortWithinPartitions("cell", "node")
+def _regions(prefixes: DataFrame) -> DataFrame:
+    """(region, node) of nodes (node, prefix): the members of all cells that a pivot leads, itself included. Cells of one node are none."""
+    rows = prefixes.select(F.explode("prefix").alias("cell"), "node")
+    cells = rows.withColumn("size", F.count("*").over(Window.partitionBy("cell"))).where("size > 1")
+    cells = shared.written(cells, "cells")
+    central = cells.groupBy("node").agg(F.sum(F.col("size") - 1).alias("meets"))
+    lead = cells.join(central, "node").groupBy("cell").agg(F.max(F.struct("meets", (-F.col("node")).alias("least"))).alias("x")).select("cell", (-F.col("x.least")).alias("region"))
+    found = shared.written(cells.join(lead, "cell").select("region", "node").distinct(), "regions")
+    shared.discard(cells)
+    return found
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot, pivot_n = None, 0, 0
-        for batch in batches:
-            cell, node, n = (c.to_numpy() for c in batch.columns)
-            if not len(cell):
-                continue
-            fresh = np.concatenate([[cell[0] != last], cell[1:] != cell[:-1]])
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(cell)), -1))
-            safe = np.maximum(at, 0)
-            pivots, sizes = np.where(at < 0, pivot, node[safe]), np.where(at < 0, pivot_n, n[safe])
-            last, pivot, pivot_n = cell[-1], pivots[-1], sizes[-1]
-            keep = node != pivots
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (cell, node, n, pivots, sizes.astype(np.int32))], names=["cell", "node", "n", "pivot", "pivot_n"])
 
-    return shared.written(rows.mapInArrow(pair, "cell long, node long, n int, pivot long, pivot_n int"), "cells")
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(node, n, shingles) of the nodes wanted (node, head, n, d1, d2), built from the texts of their first documents; rows may be repeated."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("string")).join(shared.small(wanted), "head").select("node", "n", "d1", "d2", "text")
 
-
-def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distances of the histograms of pairs (a, b), as a written table: a, b, near, level (its buckets), maybe (false: no link)."""
-    side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, one, two = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            # An id may have another text too.
+            keep = [(i, s) for i, s in sets_of(batch.column(4)) if len(s) == n[i] and _digests(s) == (one[i], two[i])]
+            take = pa.array([i for i, _ in keep], pa.int64())
+            offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in keep])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*(s for _, s in keep), np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists], names=["node", "n", "shingles"])
+
+    built = rows.mapInArrow(build, "node long, n long, shingles array<long>")
+    return shared.written(built.dropDuplicates(["node"]) if repeated else built, "sets")
+
+
+def voronoi(found: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Who is in the region of each pivot, and how far from it, of distances (pivot, set); and at last in the rest, of those so far from all pivots that a partner may be at distance 1 from all."""
+    near = found.min(0)
+    regions = [(far <= near + 2 * _LINK + _SLACK) & (far < 1) for far in found]
+    return [*regions, near >= 1 - _LINK - _SLACK], [*found, np.zeros(len(near))]
+
+
+def separates(total, most, size):
+    """Whether a split is worth it, by the sizes of its regions (all, largest) and that of the region."""
+    return (total <= 2 * size) & (4 * most <= 3 * size)
+
+
+class Region:
+    """Sets that join within a task. Distances come from postings: a set's shingles are looked up, and the sets at each counted."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        _, terms = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self._terms = np.split(terms, np.cumsum(self.sizes)[:-1])
+        self._postings = owner[np.argsort(terms, kind="stable")]
+        self._begin = np.concatenate([[0], np.cumsum(np.bincount(terms))])
+        self.comp = np.arange(len(sets))
+        self.links: list[tuple[int, int]] = []
+
+    def common(self, x: int) -> np.ndarray:
+        """Shingles that each set shares with set x."""
+        terms = self._terms[x]
+        count = self._begin[terms + 1] - self._begin[terms]
+        take = np.repeat(self._begin[terms] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        return np.bincount(self._postings[take], minlength=len(self.sizes))
+
+    def measured(self, x: int, at: np.ndarray) -> np.ndarray:
+        """Distances from x to the sets at the places given; those that link join its component."""
+        shared_here = self.common(x)[at]
+        union = self.sizes[x] + self.sizes[at] - shared_here
+        linked = at[PARTS * shared_here >= LEAST * union]
+        merged = np.unique(self.comp[linked])
+        if len(merged) > 1 or (len(merged) == 1 and merged[0] != self.comp[x]):
+            # One link for each component that joins makes a forest of them.
+            for c in merged:
+                if c != self.comp[x]:
+                    self.links.append((x, int(linked[self.comp[linked] == c][0])))
+            merged = np.union1d(merged, self.comp[x])
+            self.comp[np.isin(self.comp, merged)] = merged[0]
+        return 1 - shared_here / union
+
+    def compare(self, at: np.ndarray, asks: np.ndarray, to_pivot: np.ndarray) -> None:
+        """Sets that ask are compared with all whose distance to the pivot and size may allow a link."""
+        for x, mine in zip(asks, to_pivot[np.searchsorted(at, asks)], strict=True):
+            near = (np.abs(to_pivot - mine) <= _LINK + _SLACK) & (self.comp[at] != self.comp[x])
+            near &= PARTS * np.minimum(self.sizes[at], self.sizes[x]) >= LEAST * np.maximum(self.sizes[at], self.sizes[x])
+            if near.any():
+                self.measured(x, at[near])
+
+    def outside(self, at: np.ndarray) -> np.ndarray:
+        """Those that aren't in the component that most are in: of two sets in different components, one is."""
+        names, count = np.unique(self.comp[at], return_counts=True)
+        return at[self.comp[at] != names[count.argmax()]] if len(at) else at
+
+    def join(self, at: np.ndarray, to_pivot: np.ndarray | None = None) -> None:
+        """All links among the sets at these (sorted) places, as components."""
+        to_pivot = np.zeros(len(at)) if to_pivot is None else to_pivot
+        open_ = self.outside(at)
+        if not len(open_):
+            return
+        if len(at) <= LEAF:
+            self.compare(at, open_, to_pivot)
+            return
+        step = max(1, len(open_) // (PIVOTS - 1))
+        pivots = np.unique([at[0], *open_[::step][: PIVOTS - 1]])
+        found = np.array([self.measured(int(p), at) for p in pivots])
+        parts, far = voronoi(found)
+        if not separates(sum(map(np.sum, parts)), max(map(np.sum, parts)), len(at)):
+            self.compare(at, self.outside(at), to_pivot)
+            return
+        for inside, own in zip(parts, far, strict=True):
+            self.join(at[inside], own[inside])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of sorted batches by their first columns, which are numbers."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = [batch.column(k).to_numpy() for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for v in values:
+            change[1:] |= v[1:] != v[:-1]
+        if held and batch.num_rows:
+            change[0] = any(held[-1].column(k)[-1].as_py() != v[0] for k, v in enumerate(values))
+        edges = np.flatnonzero(change)
+        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            if change[a : a + 1].any() and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _solved(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the components among the members (region, part, node, asks, far) of each part of a region. Where asks is null, all meet; else those that ask meet all; far is the distance to a common pivot."""
+    rows = members.join(sets.drop("n"), "node").select("region", "part", "node", "asks", "far", "shingles").repartition("region", "part").sortWithinPartitions("region", "part", "node")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 2):
+            node, asks, far = group.column("node").to_numpy(), group.column("asks").to_pylist(), group.column("far").to_numpy()
+            once = np.concatenate([[True], node[1:] != node[:-1]])
+            lists = group.column("shingles").combine_chunks()
+            at = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy().view(np.uint64)
+            rows_once = np.flatnonzero(once)
+            region = Region([flat[at[i] : at[i + 1]] for i in rows_once])
+            every = np.arange(len(rows_once))
+            if asks[0] is None:
+                region.join(every)
+            else:
+                region.compare(every, np.unique((np.cumsum(once) - 1)[np.array(asks, bool)]), far[rows_once])
+            if region.links:
+                names = node[rows_once][np.array(region.links)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1])], names=["a", "b"])
+
+    return rows.mapInArrow(solve, "a long, b long")
+
+
+def _measured(members: DataFrame, sets: DataFrame, n_pivots: int) -> DataFrame:
+    """Members (region, node) of large regions, measured to pivots of their own: (region, node, pivot, far, inside, linked), a row for each pivot, and one for the rest."""
+    order = Window.partitionBy("region").orderBy(F.xxhash64("region", "node"), "node")
+    drawn = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_pivots)
+    pivots = drawn.join(sets.drop("n"), "node").groupBy("region").agg(F.collect_list(F.struct("node", "shingles")).alias("pivots"))
+    rows = members.join(sets.drop("n"), "node").join(shared.written(pivots, "pivots"), "region").select("region", "node", "shingles", "pivots")
+    names = ["region", "node", "pivot", "far", "inside", "linked"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            near, level = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
-            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            maybe = (2 * PARTS - (PARTS - LEAST)) * near <= (PARTS - LEAST) * total
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(level), pa.array(maybe)], names=["a", "b", "near", "level", "maybe"])
-
-    return shared.written(both.mapInArrow(measure, "a long, b long, near long, level long, maybe boolean"), "near")
-
-
-def _packed(s: np.ndarray) -> bytes:
-    """A sorted set, 6 bytes a shingle."""
-    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
+            out: list[list] = [[] for _ in names]
+            region, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i in range(batch.num_rows):
+                own, drawn = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values
+                pivots, lists = drawn.field(0).to_numpy(), drawn.field(1)
+                common, size = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+                for k in range(len(pivots)):
+                    other = lists[k].values.to_numpy()
+                    common[k], size[k] = len(np.intersect1d(own, other, assume_unique=True)), len(other)
+                union = len(own) + size - common
+                inside, far = voronoi((1 - common / union)[:, None])
+                for column, values in zip(out, ([region[i]] * len(far), [node[i]] * len(far), [*pivots, REST], [x[0] for x in far], [x[0] for x in inside], [*(PARTS * common >= LEAST * union), False]), strict=True):
+                    column += values
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.float64()), *(pa.array(x, pa.bool_()) for x in out[4:])], names=names)
+
+    return shared.written(rows.mapInArrow(measure, "region long, node long, pivot long, far double, inside boolean, linked boolean"), "measured")
+
+
+def _links(members: DataFrame, sets: DataFrame, limit: int, shingles: int, n_pivots: int) -> DataFrame:
+    """Links (a, b) that connect the components among the members (region, node) of all regions."""
+    sizes = shared.written(sets.select("node", "n"), "sizes")
+    found: list[DataFrame] = []
+    fits = f"size <= 2 OR (size <= {limit} AND total <= {shingles})"
+    counts = (F.count("*").alias("size"), F.sum("n").alias("total"))
+    while True:
+        regions = shared.written(members.join(sizes, "node").groupBy("region").agg(*counts), "counts")
+        small = members.join(regions.where(fits).select("region"), "region").withColumns({"part": F.lit(0).cast("long"), "asks": F.lit(None).cast("boolean"), "far": F.lit(0.0)})
+        found.append(shared.written(_solved(small, sets), "links"))
+        large = regions.where(f"NOT ({fits})")
+        if large.isEmpty():
+            return _together(found)
+        measured = _measured(members.join(large.select("region"), "region"), sets, n_pivots)
+        found.append(shared.written(measured.where("linked AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links"))
+        labels = graph.components(_together(found))
+        # Pivots have met their whole region, and stay only as the names of the new ones.
+        met = measured.where("far = 0 AND node = pivot").select("region", "node")
+        named = measured.join(met, ["region", "node"], "left_anti").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        parts = shared.written(named.where("inside").select("region", F.xxhash64("region", "pivot").alias("part"), "node", "comp"), "parts")
+        state = parts.join(sizes, "node").groupBy("region", "part").agg(*counts, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+        state = shared.written(state, "state")
+        # A region that its pivots don't separate isn't split: those outside the component of its most linked pivot ask all, block by block.
+        split = state.groupBy("region").agg(F.max("size").alias("most"), F.sum("size").alias("all"))
+        whole = split.join(large, "region").where(~separates(F.col("all"), F.col("most"), F.col("size"))).select("region", "size", "total")
+        whole = shared.written(whole, "whole")
+        rest = state.join(whole.select("region"), "region", "left_anti").select("region", "part")
+        if not whole.isEmpty():
+            found.append(shared.written(_solved(_blocks(whole, measured, named, labels, limit, shingles), sets), "links"))
+        members = shared.written(parts.join(rest, ["region", "part"]).select(F.col("part").alias("region"), "node"), "regions")
+        if members.isEmpty():
+            return _together(found)
+
+
+def _blocks(whole: DataFrame, measured: DataFrame, named: DataFrame, labels: DataFrame, limit: int, shingles: int) -> DataFrame:
+    """Members (region, part, node, asks, far) of the regions that aren't split, a part for each block of those that ask and block of all."""
+    linked = measured.where("linked").groupBy("region", "pivot").agg(F.count("*").alias("n"))
+    best = linked.groupBy("region").agg(F.max(F.struct("n", "pivot")).alias("x")).select("region", F.col("x.pivot").alias("pivot"))
+    best = whole.join(best, "region").join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("lead")), "pivot", "left").withColumn("lead", F.coalesce("lead", "pivot"))
+    rows = named.join(best, ["region", "pivot"]).select("region", "node", "far", (F.col("comp") != F.col("lead")).alias("asks"), "size", "total")
+    rows = shared.written(rows, "asking")
+    asking = rows.where("asks").groupBy("region").agg(F.count("*").alias("asking"))
+    block = max(1, limit // 2)
+    count = lambda c: F.greatest(F.ceil(F.col(c) / block), F.ceil(F.col("total") * F.col(c) / F.col("size") * 2 / shingles))
+    rows = rows.join(asking, "region").withColumns({"deep": count("asking"), "wide": count("size")})
+    rows = rows.withColumns({"i": F.pmod(F.xxhash64("node"), F.col("deep")), "j": F.pmod(F.xxhash64("node"), F.col("wide"))})
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    grid = rows.where("asks").withColumn("j", each("wide")).unionByName(rows.withColumn("i", each("deep")).withColumn("asks", F.lit(False)))
+    return grid.select("region", (F.col("i") * F.col("wide") + F.col("j")).alias("part"), "node", "asks", "far")
+
+
+def _together(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` of wanted (node, head, n, d1, d2, ...), each row with the packed set of its node. Texts stay in their tasks while wanted is small."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("string")).join(shared.small(wanted), "head").select("node", "n", "d1", "d2", "text", *keep)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            node, n, one, two = (batch.column(k).to_numpy() for k in range(4))
-            at, found = [], []
-            for i in range(batch.num_rows):
-                if node[i] != last or held is None:
-                    (_, s), last, held = next(sets_of(batch.column(4).slice(i, 1))), node[i], None
-                    if len(s) == n[i] and _digests(s) == (one[i], two[i]):
-                        held = _packed(s)
-                if held is not None:
-                    at.append(i)
-                    found.append(held)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(5 + k).take(take) for k in range(len(keep))), pa.array(found, pa.binary())], names=[*keep, "shingles"])
-
-    return rows.mapInArrow(build, "".join(f"{k} long, " for k in keep) + "shingles binary")
-
-
-def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are linked, as a written table."""
-    pairs = shared.written(pairs.join(nodes.withColumnRenamed("node", "a"), "a").withColumn("node", F.col("a")), "pairs")
-    others = shared.written(nodes.join(pairs.select(F.col("b").alias("node")).distinct(), "node"), "others")
-    left = _with_sets(docs, pairs, ["a", "b"]).withColumnRenamed("shingles", "s_a")
-    right = _with_sets(docs, others.withColumn("b", F.col("node")), ["b"]).withColumnRenamed("shingles", "s_b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = a.as_py(), b.as_py()
-                common = len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True))
-                good.append(PARTS * common >= LEAST * (len(x) // 6 + len(y) // 6 - common))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return shared.written(left.join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long"), "links")
-
-
-def _sizes_fit(a: str, b: str):
-    return PARTS * F.least(a, b) >= LEAST * F.greatest(a, b)
-
-
-def _unfinished(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (cell, node, n, near, level, comp, size) of the cells that still hold two components; size counts members."""
-    named = cells.drop("comp").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = shared.kept(named)
-    open_cells = shared.kept(named.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("cell", "size"))
-    return shared.kept(named.drop("size").join(open_cells, "cell"))
-
-
-def _recursion(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, cells: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) by the links given, to the first pivots, and by those among the members of cells."""
-    near = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "near", "level")
-    members = cells.join(near, ["node", "pivot"], "left").select("cell", "node", "n", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("level", F.lit(0)).alias("level"))
-    labels = graph.components(links)
-    rest, n_pivots = _unfinished(members, labels), 4
-    # Distances to the pivot by different numbers of buckets, or by none, bound nothing.
-    in_window = (F.col("level") != F.col("level_b")) | (F.col("level") == 0) | ((2 * PARTS - (PARTS - LEAST)) * F.abs(F.col("near") - F.col("near_b")) <= (PARTS - LEAST) * (F.col("n") + F.col("n_b")))
-    while not rest.isEmpty():
-        small = rest.where(F.col("size") <= SMALL_CELL)
-        large = rest.where(F.col("size") > SMALL_CELL)
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node"), "node"))
-        pivots = shared.kept(large.withColumn("rank", rank).where(F.col("rank") <= n_pivots).drop("rank"))
-        other = lambda df: df.select("cell", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("near").alias("near_b"), F.col("level").alias("level_b"), F.col("comp").alias("comp_b"))
-        met = small.join(other(small), "cell").where("node < b").unionByName(large.join(other(pivots), "cell").where("node <> b"))
-        pairs = met.where(F.col("comp") != F.col("comp_b")).where(in_window & _sizes_fit("n", "n_b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        labels = graph.extended(labels, _linked(docs, nodes, _near(pairs, sketches).where("maybe").select("a", "b")))
-        # The pivots have met all of their cell. What is left of a large cell goes on, unless links have made it one component.
-        rest = shared.kept(large.join(pivots.select("cell", "node"), ["cell", "node"], "left_anti"))
-        if not rest.isEmpty():
-            rest, n_pivots = _unfinished(rest, labels), 2 * n_pivots
-    return labels
-
-
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, limit: int = REGION, shingles: int = REGION_SHINGLES, n_pivots: int = PIVOTS) -> DataFrame:
     """Per document of a table (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     docs = docs.select("doc_id", "text")
     cut = _prefixes(docs)
-    if not cut.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = shared.written(docs.distinct(), "once")  # so that a node's set is built once
     keys = ["d1", "d2", "n"]
-    reps = cut.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("head")).withColumn("node", F.monotonically_increasing_id())
-    reps = shared.written(reps, "nodes")
-    own = cut.join(shared.small(reps.withColumnRenamed("head", "doc_id")), [*keys, "doc_id"])
-    sketches = own.select("node", "n", "sketch")
-    cells = _cells(own.select("node", "n", "prefix"))
-    first = _near(cells.where(_sizes_fit("n", "pivot_n")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sketches)
-    links = _linked(docs, reps, first.where("maybe").select("a", "b"))
-    # Cells of two are finished; of the others, all members but the pivot go on.
-    more = shared.kept(cells.groupBy("cell").count().where("count > 1").select("cell"))
-    labels = _recursion(docs, reps, sketches, cells.join(more, "cell"), first, links)
-    named = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = shared.kept(named.groupBy("component").agg(F.min("head").alias("component_id")))
+    nodes = shared.written(cut.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("head")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = cut.join(shared.small(nodes.withColumnRenamed("head", "doc_id")), [*keys, "doc_id"]).select("node", "prefix")
+    repeated = not cut.groupBy("doc_id", *keys).count().where("count > 1").isEmpty()
+    members = _regions(own.dropDuplicates(["node"]) if repeated else own)
+    wanted = shared.written(nodes.join(members.select("node").distinct(), "node"), "wanted")
+    sets = _sets(docs, wanted, repeated)
+    labels = graph.components(_links(members, sets, limit, shingles, n_pivots))
+    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("head").alias("component_id"))
     groups = shared.written(named.join(least, "component").select(*keys, "component_id"), "groups")
     out = cut.select("doc_id", *keys).join(groups, keys, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -21,12 +21,15 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Only a session of this machine alone may go without: it gets a temporary one."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="docsieve-"))
-    return (folder or context.getCheckpointDir()).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("a cluster's session has to name a shared folder in spark.checkpoint.dir")
+        folder = "file://" + tempfile.mkdtemp(prefix="docsieve-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,22 +40,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its rows are fixed, and a lost executor costs no more than a read."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint; for tables of a few columns that a loop replaces."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def discard(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table._written_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows up to which a written table of a few numbers a row goes to every task.
-BROADCAST_ROWS = 1 << 20
+#: Bytes up to which a written table of numbers goes to every task.
+BROADCAST_BYTES = 1 << 25
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a written table of a few numbers a row, broadcast in a join if it has at most so many rows; else the join shuffles."""
-    return broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table of numbers, broadcast in a join if it has at most so many bytes at 8 a column and 16 a row; else the join shuffles."""
+    return broadcast(df) if df.count() * (8 * len(df.columns) + 16) <= limit else df
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

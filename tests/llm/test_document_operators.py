@@ -45,15 +45,48 @@ def test_jaccard_join_on_awkward_rows(awkward):
 
 
 def test_jaccard_join_recursion(spark):
-    """Many texts around a few common ones, so that cells are larger than SMALL_CELL and need further pivots."""
+    """Many texts around a few common ones, so that regions are split, by Spark with the small limits and within tasks; and texts of a common half, which no window separates."""
     rows = []
     for k in range(240):
         base = prose(1000 + k % 3, 60).split(" ")
         for j in range(k % 17):
             base[(7 * j + k) % 60] = f"edit{k}_{j}"
         rows.append((k + 1, " ".join(base)))
+    rows += [(300 + k, f"{prose(77, 40)} {prose(400 + k // 2, 24)} {prose(900 + k, k % 4)}".strip()) for k in range(160)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, jaccard_join.join(docs).collect())) == _components(rows)
+    expected = _components(rows)
+    assert sorted(map(tuple, jaccard_join.join(docs).collect())) == expected
+    assert sorted(map(tuple, jaccard_join.join(docs, 24, 1 << 20, 4).collect())) == expected
+    assert sorted(map(tuple, jaccard_join.join(docs, 64, 1 << 11, 3).collect())) == expected
+
+
+def _sets_around(seed, n, size):
+    """Sets of numbers, many of them near a few common ones."""
+    rng = np.random.default_rng(seed)
+    bases = [rng.integers(1, 500 if k % 2 else 2**40, size) for k in range(4)]
+    out = []
+    for _ in range(n):
+        s = bases[rng.integers(4)].copy()
+        at = rng.random(size) < rng.choice([0.02, 0.08, 0.14, 0.3])
+        s[at] = rng.integers(1, 600, at.sum())
+        out.append(np.unique(s[: rng.integers(max(1, size // 2), size + 1)]).astype(np.uint64))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_region_join_within_a_task(seed):
+    sets = _sets_around(seed, 300, 40)
+    region = jaccard_join.Region(sets)
+    region.join(np.arange(len(sets)))
+    plain = [set(s.tolist()) for s in sets]
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if comp[i] != comp[j] and 100 * len(plain[i] & plain[j]) >= 75 * len(plain[i] | plain[j]):
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    assert len(set(zip(comp, region.comp.tolist()))) == len(set(comp)) == len(set(region.comp.tolist()))
+    assert len(region.links) == len(sets) - len(set(comp))
 
 
 def test_jaccard_join_on_documents(spark, sf_dir):
@@ -69,8 +102,6 @@ def test_jaccard_join_empty(empty):
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (1, 1)], "a long, b long")
     assert sorted(map(tuple, graph.components(edges).collect())) == [(3, 2), (4, 2), (5, 2), (8, 7), (9, 7)]
-    more = spark.createDataFrame([(9, 4), (12, 11), (4, 2)], "a long, b long")
-    assert sorted(map(tuple, graph.extended(graph.components(edges), more).collect())) == [(3, 2), (4, 2), (5, 2), (7, 2), (8, 2), (9, 2), (12, 11)]
 
 
 def _exact_passages(rows):
