@@ -16,7 +16,8 @@ finished. Where all distances are alike, so that a split would leave a region ne
 largest component known ask all the others, in blocks of bounded size. Every linked pair is therefore compared or known to be in one component.
 
 Equal sets are one node throughout, so copies cost nothing. Rarity comes from counts of all shingles in a fixed number of
-buckets; it only decides an order, which may be any, so its coarseness costs speed and never a link.
+buckets; it only decides an order, which may be any, so its coarseness costs speed and never a link. Sets therefore bring more cells than they
+need, and leave those out that turn out to be the largest.
 
 Defined cases: null and empty texts and texts without words have no shingles and link with nothing, nor does a text of its own whose id
 is null. Rows with equal ids and equal texts get equal rows. Columns beside id and text aren't read. Texts are read whole.
@@ -42,6 +43,8 @@ _LINK, _SLACK = 1 - LEAST / PARTS, 1e-9
 _BITS = 18
 #: Sets, and shingles in them, up to which a region joins within one task; pivots of a split; sets of a region that are compared without a split.
 REGION, REGION_SHINGLES, PIVOTS, LEAF = 128, 1 << 18, 16, 24
+#: One in so many of a set's shingles is spare: its most common cells go, once the sizes of cells are known.
+SPARE = 8
 #: Stands for the pivot of the sets that are far from all pivots; nodes have numbers from 0.
 REST = -1
 
@@ -84,7 +87,7 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, two digests of the set, and its rarest shingles: as many as a linked partner can't all miss."""
+    """doc_id, n, two digests of the set, and its rarest shingles: as many as a linked partner can't all miss, and n // SPARE more, so that it shares more than n // SPARE of them."""
     rarity = docs.sparkSession.sparkContext.broadcast(_rarity(docs))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +99,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 one.append(d[0])
                 two.append(d[1])
-                prefix.append(s[np.lexsort((s, counts[_bucket(s)]))[: len(s) - -(-LEAST * len(s) // PARTS) + 1]].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                prefix.append(s[np.lexsort((s, counts[_bucket(s)]))[: len(s) - -(-LEAST * len(s) // PARTS) + 1 + len(s) // SPARE]].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, one, two)), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
@@ -106,10 +109,15 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 
 
 def _regions(prefixes: DataFrame) -> DataFrame:
-    """(region, node) of nodes (node, prefix): the members of all cells that a pivot leads, itself included. Cells of one node are none."""
-    rows = prefixes.select(F.explode("prefix").alias("cell"), "node")
-    cells = rows.withColumn("size", F.count("*").over(Window.partitionBy("cell"))).where("size > 1")
-    cells = shared.written(cells, "cells")
+    """(region, node) of nodes (node, n, prefix): the members of all cells that a pivot leads, itself included. Cells of one node are none."""
+    rows = prefixes.select(F.explode("prefix").alias("cell"), "node", F.expr(f"int(n div {SPARE})").alias("spare"))
+    size = F.count("*").over(Window.partitionBy("cell"))
+    shared_cells = shared.written(rows.withColumn("size", size).where("size > 1"), "cells")
+    # The largest cells that a set can spare go: of those that it shares with a partner, both keep the smallest.
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), F.desc("cell")))
+    least = shared_cells.withColumn("rank", rank).where("rank > spare").select("cell", "node")
+    cells = shared.written(least.withColumn("size", size).where("size > 1"), "cells")
+    shared.discard(shared_cells)
     central = cells.groupBy("node").agg(F.sum(F.col("size") - 1).alias("meets"))
     lead = cells.join(central, "node").groupBy("cell").agg(F.max(F.struct("meets", (-F.col("node")).alias("least"))).alias("x")).select("cell", (-F.col("x.least")).alias("region"))
     found = shared.written(cells.join(lead, "cell").select("region", "node").distinct(), "regions")
@@ -354,7 +362,7 @@ def join(docs: DataFrame, limit: int = REGION, shingles: int = REGION_SHINGLES,
     cut = _prefixes(docs)
     keys = ["d1", "d2", "n"]
     nodes = shared.written(cut.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("head")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    own = cut.join(shared.small(nodes.withColumnRenamed("head", "doc_id")), [*keys, "doc_id"]).select("node", "prefix")
+    own = cut.join(shared.small(nodes.withColumnRenamed("head", "doc_id")), [*keys, "doc_id"]).select("node", "n", "prefix")
     repeated = not cut.groupBy("doc_id", *keys).count().where("count > 1").isEmpty()
     members = _regions(own.dropDuplicates(["node"]) if repeated else own)
     wanted = shared.written(nodes.join(members.select("node").distinct(), "node"), "wanted")
