@@ -1,15 +1,17 @@
 """Byte-level BPE by a public rank file: encoding of distinct words with Spark's higher-order functions, and decoding.
 
-A task goes through its texts a slice at a time. The first step finds the words (matches of the splitting pattern) that the task hasn't met yet.
-Spark then folds the merges over the bytes of each such word: pieces and the ranks of neighbouring pairs are arrays, and every
-step joins the leftmost pair of least rank. The rank map is a literal of the plan, an array of small maps addressed by a checksum of the bytes,
-so a lookup doesn't depend on the vocabulary's size. The last step puts the words' ids together into those of the texts.
+A task goes through its texts a slice at a time. The first step finds the words (matches of the splitting pattern) that the task hasn't met yet,
+and turns each text into numbers of its chunks (words with the spaces before them), which are split once each.
+Spark then folds the merges over the bytes of each new word: a word is an array of token ids beside one of the ranks at which neighbours merge, and every
+step joins the leftmost pair of least rank, whose rank is the id of what it becomes. The rank maps are literals of the plan, arrays of small buckets
+addressed by a checksum of the bytes or of the pair, so a lookup doesn't depend on the vocabulary's size. The last step puts the words' ids together
+into those of the texts.
 
-All of that is one stage without a shuffle. A task remembers at most WORDS words; then both steps forget them together,
-so memory is bounded whatever the corpus.
+All of that is one stage without a shuffle; words are distinct within a task, as far as it remembers them. A task remembers at most CHUNKS chunks of
+CHUNK_BYTES bytes together, beside those of one slice; then both steps forget them together, so memory is bounded whatever the corpus.
 
 Defined cases: a null or empty text has no ids. Texts of any length are encoded whole; the work for one word grows with the square of
-its length, as each merge writes its arrays anew. Repeated rows give repeated rows. Columns beside the named ones aren't read.
+its length, as each merge copies its arrays. Repeated rows give repeated rows. Columns beside the named ones aren't read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from docsieve.llm import shared
 from docsieve.llm.tokens import before_spaces, texts_of
 
-#: Words that a task remembers, bytes of text that go through a step together, and buckets of the rank map.
-WORDS, SLICE, BUCKETS = 250_000, 1 << 20, 1 << 16
+#: Chunks that a task remembers and their bytes, bytes of text that go through a step together, and buckets of the rank maps.
+CHUNKS, CHUNK_BYTES, SLICE, BUCKETS = 400_000, 16 << 20, 1 << 20, 1 << 16
 _NONE = 2**31 - 1
 
 
@@ -39,16 +41,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a constant: bucket crc32(bytes) % BUCKETS of an array holds a map from the bytes, in hex, to the rank."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        buckets[zlib.crc32(token) % BUCKETS][token.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+def _bucketed(entries: Iterator[tuple[int, object, int]], kind: str) -> Column:
+    """A constant array of buckets {k: keys, r: ranks}, from (bucket, key, rank)."""
+    buckets: list[dict[str, list]] = [{"k": [], "r": []} for _ in range(BUCKETS)]
+    for at, key, rank in entries:
+        buckets[at]["k"].append(key)
+        buckets[at]["r"].append(rank)
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<struct<k:array<{kind}>,r:array<int>>>")
+
 
+def _pair_bucket(a, b):
+    return (a * 40503 + b) % BUCKETS
 
-def _rank(table: Column, piece: Column) -> Column:
-    return F.coalesce(F.element_at(F.get(table, (F.crc32(piece) % BUCKETS).cast("int")), F.hex(piece)), F.lit(_NONE))
+
+def tables(ranks: dict[bytes, int]) -> Column:
+    """The rank maps as a constant: `words` by bytes (in hex), `pairs` by the ids of two tokens that merge, and `letters`, the id of each byte."""
+    pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    return F.struct(
+        _bucketed(((zlib.crc32(t) % BUCKETS, t.hex().upper(), r) for t, r in ranks.items()), "string").alias("words"),
+        _bucketed(((_pair_bucket(a, b), (a << 32) + b, r) for (a, b), r in pairs.items()), "bigint").alias("pairs"),
+        F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>").alias("letters"),
+    )
 
 
 def _with(value: Column, body) -> Column:
@@ -56,55 +69,65 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded_word(word: Column, table: Column) -> Column:
-    """Ids of a word's bytes: its own rank if it has one, else what is left after all merges."""
-    size = F.octet_length(word)
-    pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
+def _looked_up(bucket: Column, key: Column) -> Column:
+    return F.coalesce(F.get(bucket["r"], F.array_position(bucket["k"], key).cast("int") - 1), F.lit(_NONE))
+
 
-    def pair_ranks(pieces: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: _rank(table, F.concat(F.get(pieces, i - 1), F.get(pieces, i))))
+def _merges_at(table: Column, a: Column, b: Column) -> Column:
+    """The rank at which two tokens merge. Null neighbours have none."""
+    a, b = a.cast("long"), b.cast("long")
+    return _looked_up(F.get(table["pairs"], _pair_bucket(a, b).cast("int")), F.shiftleft(a, 32) + b)
 
-    def merged(state: Column, at: Column) -> Column:
-        pieces, ranks = state["pieces"], state["ranks"]
-        joined = F.concat(F.get(pieces, at - 1), F.get(pieces, at))
-        before = F.when(at > 1, F.array(_rank(table, F.concat(F.get(pieces, at - 2), joined)))).otherwise(F.slice(ranks, F.lit(1), F.lit(0)))
-        after = F.when(at < F.size(ranks), F.array(_rank(table, F.concat(joined, F.get(pieces, at + 1))))).otherwise(F.slice(ranks, F.lit(1), F.lit(0)))
-        rest = F.size(pieces)
+
+def encoded_word(word: Column, letters: Column, table: Column) -> Column:
+    """Ids of a word, given as bytes and as an array of their values: its own rank if it has one, else what is left after all merges."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def start(ids: Column) -> Column:
+        ranks = F.when(F.size(ids) > 1, F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: _merges_at(table, F.get(ids, i - 1), F.get(ids, i)))).otherwise(none)
+        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+
+    def merged(state: Column, at: Column, rank: Column) -> Column:
+        ids, ranks, rest = state["ids"], state["ranks"], F.size(state["ids"])
+        before = F.when(at > 1, F.array(_merges_at(table, F.get(ids, at - 2), rank))).otherwise(none)
+        after = F.when(at < F.size(ranks), F.array(_merges_at(table, rank, F.get(ids, at + 1)))).otherwise(none)
         return F.struct(
-            F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(joined), F.slice(pieces, at + 2, rest)).alias("pieces"),
+            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(rank), F.slice(ids, at + 2, rest)).alias("ids"),
             F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, rest)).alias("ranks"),
         )
 
     def step(state: Column, _: Column) -> Column:
-        least = F.array_min(state["ranks"])
-        return F.when(F.coalesce(least, F.lit(_NONE)) < _NONE, _with(F.array_position(state["ranks"], least).cast("int"), lambda at: merged(state, at))).otherwise(state)
+        least = F.coalesce(F.array_min(state["ranks"]), F.lit(_NONE))
+        return F.when(least < _NONE, _with(least, lambda rank: _with(F.array_position(state["ranks"], rank).cast("int"), lambda at: merged(state, at, rank)))).otherwise(state)
 
-    start = _with(pieces, lambda p: F.struct(p.alias("pieces"), F.when(F.size(p) > 1, pair_ranks(p)).otherwise(F.expr("cast(array() as array<int>)")).alias("ranks")))
-    fold = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step, lambda s: F.transform(s["pieces"], lambda p: _rank(table, p)))
-    whole = _rank(table, word)
-    return F.when(size == 0, F.expr("cast(array() as array<int>)")).when(whole < _NONE, F.array(whole)).otherwise(fold)
+    size = F.size(letters)
+    first = _with(F.transform(letters, lambda b: F.get(table["letters"], b)), start)
+    fold = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), first, step, lambda s: s["ids"])
+    whole = _looked_up(F.get(table["words"], (F.crc32(word) % BUCKETS).cast("int")), F.hex(word))
+    return F.when(size == 0, none).otherwise(_with(whole, lambda rank: F.when(rank < _NONE, F.array(rank)).otherwise(fold)))
 
 
-class _Words:
-    """Splits texts into words; the words of a chunk are remembered, a bounded number of chunks."""
+class _Numbers(dict):
+    """Numbers of things in the order in which they are first asked for; `new` collects them."""
 
-    def __init__(self, pattern: str):
-        import regex
+    def __init__(self):
+        self.new: list[bytes] = []
 
-        self._find, self._known = regex.compile(pattern).findall, {}
+    def __missing__(self, thing: bytes) -> int:
+        self[thing] = number = len(self)
+        self.new.append(thing)
+        return number
 
-    def of(self, text: bytes) -> list[bytes]:
-        out: list[bytes] = []
-        for chunk in before_spaces(text):
-            found = self._known.get(chunk)
-            if found is None:
-                found = [w.encode() for w in self._find(chunk.decode())]
-                if len(chunk) <= 200:
-                    if len(self._known) > WORDS:
-                        self._known.clear()
-                    self._known[chunk] = found
-            out += found
-        return out
+
+def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+    """Sequences of numbers as a list array."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(r) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype())))
+
+
+def _one_row(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -115,51 +138,68 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     pieces = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, met = _Words(pattern), set()
+        import regex
+
+        split = regex.compile(pattern).findall
+        chunks, words, held = _Numbers(), _Numbers(), 0
         for batch in batches:
             data, offsets = shared.utf8(batch.column(1))
             for a, b in shared.slices(offsets, SLICE):
-                own = set().union(*(split.of(t) for t in texts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])))
-                forget = len(met) + len(own) > WORDS
+                forget = len(chunks) > CHUNKS or held > CHUNK_BYTES
                 if forget:
-                    met = set()
-                new = sorted(own - met)
-                met.update(new)
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([new], pa.list_(pa.binary())), pa.array([forget])], names=["names", "texts", "words", "forget"])
+                    chunks, words, held = _Numbers(), _Numbers(), 0
+                texts = [list(map(chunks.__getitem__, before_spaces(t))) for t in texts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+                parts = [[words[w.encode()] for w in split(c.decode())] for c in chunks.new]
+                held += sum(map(len, chunks.new))
+                letters = np.frombuffer(b"".join(words.new), np.uint8)
+                ends = np.cumsum([0, *map(len, words.new)]).astype(np.int32)
+                columns = [
+                    _one_row(batch.column(0).slice(a, b - a)), _one_row(_lists(texts, pa.int32())), _one_row(_lists(parts, pa.int32())),
+                    _one_row(pa.array(words.new, pa.binary())), _one_row(pa.ListArray.from_arrays(pa.array(ends), pa.array(letters.astype(np.int32)))), pa.array([forget]),
+                ]
+                chunks.new, words.new = [], []
+                yield pa.RecordBatch.from_arrays(columns, names=["names", "texts", "parts", "words", "letters", "forget"])
 
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, table = _Words(pattern), {}, pieces.value
+        table = pieces.value
+        words: list[np.ndarray] = []
+        ids: list[bytes] = []  # of each chunk; beside it its decimals and its bytes
+        decimals: list[bytes] = []
+        raw: list[bytes] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column(4)[i].as_py():
-                    known = {}
-                lists = batch.column(3)[i].values
-                ends, flat = lists.offsets.to_numpy() if lists is not None else np.zeros(1, np.int64), lists.flatten().to_numpy(zero_copy_only=False) if lists is not None else np.zeros(0, np.int32)
-                ends = ends - ends[0]
-                for k, word in enumerate(batch.column(2)[i].as_py()):
-                    ids = flat[ends[k] : ends[k + 1]].astype("<i4")
-                    known[word] = (",".join(map(str, ids.tolist())).encode(), ids.tobytes()) if digests else ids.tobytes()
-                names, texts = batch.column(0)[i].values, batch.column(1)[i].as_py()
+                    words, ids, decimals, raw = [], [], [], []
+                rows_of = lambda k: _split(batch.column(k)[i].values)  # noqa: E731, B023
+                words += rows_of(3)
+                for own in rows_of(2):
+                    joined = np.concatenate([words[w] for w in own]).astype("<i4") if len(own) else np.zeros(0, "<i4")
+                    ids.append(joined.tobytes())
+                    if digests:
+                        decimals.append(",".join(map(str, joined.tolist())).encode())
+                        raw.append(b"".join(map(table.__getitem__, joined.tolist())))
+                names, texts = batch.column(0)[i].values, [t.tolist() for t in rows_of(1)]
                 if not digests:
-                    ids = [b"".join([known[w] for w in split.of((t or "").encode())]) for t in texts]
-                    sizes = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(ids), "<i4")))], names=[id_col, "ids"])
+                    found = [np.frombuffer(b"".join(map(ids.__getitem__, t)), "<i4") for t in texts]
+                    yield pa.RecordBatch.from_arrays([names, _lists(found, pa.int32())], names=[id_col, "ids"])
                     continue
-                count, shas, decoded = [], [], []
-                for t in texts:
-                    own = [known[w] for w in split.of((t or "").encode())]
-                    ids = np.frombuffer(b"".join([x[1] for x in own]), "<i4")
-                    count.append(len(ids))
-                    shas.append(hashlib.sha256(b",".join([x[0] for x in own])).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join(map(table.__getitem__, ids.tolist()))).hexdigest())
-                yield pa.RecordBatch.from_arrays([names, pa.array(count, pa.int64()), pa.array(shas), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    found = rows.mapInArrow(find, f"names array<{kind}>, texts array<string>, words array<binary>, forget boolean")
-    ids = _with(rank_literal(ranks), lambda table: F.transform("words", lambda w: encoded_word(w, table)))
-    return found.select("names", "texts", "words", ids.alias("ids"), "forget").mapInArrow(assemble, f"`{id_col}` {kind}, {out}")
+                count = [sum(map(len, map(ids.__getitem__, t))) // 4 for t in texts]
+                shas = [hashlib.sha256(b",".join(map(decimals.__getitem__, t))).hexdigest() for t in texts]
+                decoded = [hashlib.sha256(b"".join(map(raw.__getitem__, t))).hexdigest() for t in texts]
+                yield pa.RecordBatch.from_arrays([names, pa.array(count, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    found = rows.mapInArrow(find, f"names array<{kind}>, texts array<array<int>>, parts array<array<int>>, words array<binary>, letters array<array<int>>, forget boolean")
+    one = lambda table: F.transform(F.arrays_zip("words", "letters"), lambda w: encoded_word(w["words"], w["letters"], table))
+    return found.select("names", "texts", "parts", _with(tables(ranks), one).alias("ids"), "forget").mapInArrow(assemble, f"`{id_col}` {kind}, {out}")
+
+
+def _split(lists: pa.Array) -> list[np.ndarray]:
+    """The numbers of each list of an array of lists."""
+    ends = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
