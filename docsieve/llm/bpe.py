@@ -32,7 +32,8 @@ from docsieve.llm.tokens import before_spaces, texts_of
 
 #: Chunks that a task remembers and their bytes, bytes of text that go through a step together, and buckets of the rank maps.
 CHUNKS, CHUNK_BYTES, SLICE, BUCKETS = 400_000, 16 << 20, 1 << 20, 1 << 16
-_NONE = 2**31 - 1
+#: Bits of a token's id and of a piece's place in its word, and the rank of what doesn't merge.
+_ID, _PLACE, _NONE = 17, 29, (1 << 17) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,20 +48,18 @@ def _bucketed(entries: Iterator[tuple[int, object, int]], kind: str) -> Column:
     for at, key, rank in entries:
         buckets[at]["k"].append(key)
         buckets[at]["r"].append(rank)
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<struct<k:array<{kind}>,r:array<int>>>")
-
-
-def _pair_bucket(a, b):
-    return (a * 40503 + b) % BUCKETS
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<struct<k:array<{kind}>,r:array<bigint>>>")
 
 
 def tables(ranks: dict[bytes, int]) -> Column:
     """The rank maps as a constant: `words` by bytes (in hex), `pairs` by the ids of two tokens that merge, and `letters`, the id of each byte."""
+    if max(ranks.values()) >= _NONE:
+        raise ValueError(f"ranks from {_NONE} on don't fit")
     pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
     return F.struct(
         _bucketed(((zlib.crc32(t) % BUCKETS, t.hex().upper(), r) for t, r in ranks.items()), "string").alias("words"),
-        _bucketed(((_pair_bucket(a, b), (a << 32) + b, r) for (a, b), r in pairs.items()), "bigint").alias("pairs"),
-        F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>").alias("letters"),
+        _bucketed(((31 * a + b & BUCKETS - 1, (a << _ID) + b, r) for (a, b), r in pairs.items()), "bigint").alias("pairs"),
+        F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>").alias("letters"),
     )
 
 
@@ -70,39 +69,43 @@ def _with(value: Column, body) -> Column:
 
 
 def _looked_up(bucket: Column, key: Column) -> Column:
-    return F.coalesce(F.get(bucket["r"], F.array_position(bucket["k"], key).cast("int") - 1), F.lit(_NONE))
+    return F.coalesce(F.get(bucket["r"], F.array_position(bucket["k"], key).cast("int") - 1), F.lit(_NONE).cast("long"))
 
 
 def _merges_at(table: Column, a: Column, b: Column) -> Column:
-    """The rank at which two tokens merge. Null neighbours have none."""
-    a, b = a.cast("long"), b.cast("long")
-    return _looked_up(F.get(table["pairs"], _pair_bucket(a, b).cast("int")), F.shiftleft(a, 32) + b)
+    """The rank at which two tokens merge; null neighbours have none."""
+    return _looked_up(F.get(table["pairs"], (a * 31 + b).bitwiseAND(BUCKETS - 1).cast("int")), F.shiftleft(a, _ID) + b)
 
 
 def encoded_word(word: Column, letters: Column, table: Column) -> Column:
-    """Ids of a word, given as bytes and as an array of their values: its own rank if it has one, else what is left after all merges."""
-    none = F.expr("cast(array() as array<int>)")
+    """Ids of a word, given as bytes and as an array of their values: its own rank if it has one, else what is left after all merges.
+
+    A piece is one number: the rank at which it merges with the next piece, its place, its id, from the highest bits to the lowest.
+    The least of them is the leftmost pair of least rank.
+    """
+    none = F.expr("cast(array() as array<bigint>)")
+    id_of = lambda piece: piece.bitwiseAND((1 << _ID) - 1)
+    ranked = lambda a, b, rest: F.shiftleft(_merges_at(table, a, b), _ID + _PLACE).bitwiseOR(rest)
 
     def start(ids: Column) -> Column:
-        ranks = F.when(F.size(ids) > 1, F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: _merges_at(table, F.get(ids, i - 1), F.get(ids, i)))).otherwise(none)
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
-
-    def merged(state: Column, at: Column, rank: Column) -> Column:
-        ids, ranks, rest = state["ids"], state["ranks"], F.size(state["ids"])
-        before = F.when(at > 1, F.array(_merges_at(table, F.get(ids, at - 2), rank))).otherwise(none)
-        after = F.when(at < F.size(ranks), F.array(_merges_at(table, rank, F.get(ids, at + 1)))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(rank), F.slice(ids, at + 2, rest)).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, rest)).alias("ranks"),
-        )
-
-    def step(state: Column, _: Column) -> Column:
-        least = F.coalesce(F.array_min(state["ranks"]), F.lit(_NONE))
-        return F.when(least < _NONE, _with(least, lambda rank: _with(F.array_position(state["ranks"], rank).cast("int"), lambda at: merged(state, at, rank)))).otherwise(state)
+        return F.transform(ids, lambda a, i: ranked(a, F.get(ids, i + 1), F.shiftleft(i.cast("long"), _ID).bitwiseOR(a)))
+
+    def merged(pieces: Column, at: Column) -> Column:
+        own, last = F.get(pieces, at - 1), F.get(pieces, at - 2)
+        rank = F.shiftright(own, _ID + _PLACE)
+        place = own.bitwiseAND((1 << _ID + _PLACE) - (1 << _ID))
+        new = ranked(rank, id_of(F.get(pieces, at + 1)), place.bitwiseOR(rank))
+        before = ranked(id_of(last), rank, last.bitwiseAND((1 << _ID + _PLACE) - 1))
+        middle = F.when(at > 1, F.array(before, new)).otherwise(F.array(new))
+        return F.concat(F.slice(pieces, F.lit(1), F.greatest(at - 2, F.lit(0))), middle, F.slice(pieces, at + 2, F.size(pieces)))
+
+    def step(pieces: Column, _: Column) -> Column:
+        least = F.array_min(pieces)
+        return F.when(least < _NONE << _ID + _PLACE, _with(F.array_position(pieces, least).cast("int"), lambda at: merged(pieces, at))).otherwise(pieces)
 
     size = F.size(letters)
     first = _with(F.transform(letters, lambda b: F.get(table["letters"], b)), start)
-    fold = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), first, step, lambda s: s["ids"])
+    fold = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), first, step, lambda pieces: F.transform(pieces, id_of))
     whole = _looked_up(F.get(table["words"], (F.crc32(word) % BUCKETS).cast("int")), F.hex(word))
     return F.when(size == 0, none).otherwise(_with(whole, lambda rank: F.when(rank < _NONE, F.array(rank)).otherwise(fold)))
 
@@ -119,23 +122,40 @@ class _Numbers(dict):
         return number
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
-    """Sequences of numbers as a list array."""
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(r) for r in rows)])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype())))
-
-
 def _one_row(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _ends(sizes: list[int]) -> np.ndarray:
+    return np.cumsum([0, *sizes]).astype(np.int32)
+
+
+class _Pieces:
+    """Lists of numbers by number, in one growing array."""
+
+    def __init__(self):
+        self.flat, self._begin, self._size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ends: np.ndarray, flat: np.ndarray) -> None:
+        self._begin = np.concatenate([self._begin, len(self.flat) + (ends[:-1] - ends[0]).astype(np.int64)])
+        self._size = np.concatenate([self._size, np.diff(ends)])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def of(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of rows of numbers one after the other: where each row ends, and the numbers in them."""
+        size = self._size[numbers]
+        before = np.concatenate([[0], np.cumsum(size)])
+        take = np.repeat(self._begin[numbers] - before[:-1], size) + np.arange(before[-1])
+        return before[ends], self.flat[take]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, ids array<int>) of each row; or, with digests, (id, n_tokens, ids_sha256, decoded_sha256), where the ids are decoded again."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = rows.schema[0].dataType.simpleString()
     pieces = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    numbers = ["texts", "text_ends", "chunks", "chunk_ends"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -148,58 +168,49 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 forget = len(chunks) > CHUNKS or held > CHUNK_BYTES
                 if forget:
                     chunks, words, held = _Numbers(), _Numbers(), 0
-                texts = [list(map(chunks.__getitem__, before_spaces(t))) for t in texts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-                parts = [[words[w.encode()] for w in split(c.decode())] for c in chunks.new]
+                parts = [before_spaces(t) for t in texts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+                texts = [chunks[c] for own in parts for c in own]
+                new = [split(c.decode()) for c in chunks.new]
+                of_chunks = [words[w.encode()] for own in new for w in own]
                 held += sum(map(len, chunks.new))
-                letters = np.frombuffer(b"".join(words.new), np.uint8)
-                ends = np.cumsum([0, *map(len, words.new)]).astype(np.int32)
+                letters = pa.array(np.frombuffer(b"".join(words.new), np.uint8).astype(np.int32))
+                packed = [np.array(x, np.int32).tobytes() for x in (texts, _ends(list(map(len, parts))), of_chunks, _ends(list(map(len, new))))]
                 columns = [
-                    _one_row(batch.column(0).slice(a, b - a)), _one_row(_lists(texts, pa.int32())), _one_row(_lists(parts, pa.int32())),
-                    _one_row(pa.array(words.new, pa.binary())), _one_row(pa.ListArray.from_arrays(pa.array(ends), pa.array(letters.astype(np.int32)))), pa.array([forget]),
+                    _one_row(batch.column(0).slice(a, b - a)), *(pa.array([x], pa.binary()) for x in packed),
+                    _one_row(pa.array(words.new, pa.binary())), _one_row(pa.ListArray.from_arrays(pa.array(_ends(list(map(len, words.new)))), letters)), pa.array([forget]),
                 ]
                 chunks.new, words.new = [], []
-                yield pa.RecordBatch.from_arrays(columns, names=["names", "texts", "parts", "words", "letters", "forget"])
+                yield pa.RecordBatch.from_arrays(columns, names=["names", *numbers, "words", "letters", "forget"])
 
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
-        words: list[np.ndarray] = []
-        ids: list[bytes] = []  # of each chunk; beside it its decimals and its bytes
-        decimals: list[bytes] = []
-        raw: list[bytes] = []
+        decimals = {rank: str(rank).encode() for rank in table} if digests else {}
+        words, chunks = _Pieces(), _Pieces()
         for batch in batches:
             for i in range(batch.num_rows):
-                if batch.column(4)[i].as_py():
-                    words, ids, decimals, raw = [], [], [], []
-                rows_of = lambda k: _split(batch.column(k)[i].values)  # noqa: E731, B023
-                words += rows_of(3)
-                for own in rows_of(2):
-                    joined = np.concatenate([words[w] for w in own]).astype("<i4") if len(own) else np.zeros(0, "<i4")
-                    ids.append(joined.tobytes())
-                    if digests:
-                        decimals.append(",".join(map(str, joined.tolist())).encode())
-                        raw.append(b"".join(map(table.__getitem__, joined.tolist())))
-                names, texts = batch.column(0)[i].values, [t.tolist() for t in rows_of(1)]
+                if batch.column(6)[i].as_py():
+                    words, chunks = _Pieces(), _Pieces()
+                texts, text_ends, of_chunks, chunk_ends = (np.frombuffer(batch.column(1 + k)[i].as_buffer(), np.int32) for k in range(4))
+                names, new = batch.column(0)[i].values, batch.column(5)[i].values
+                if len(new):
+                    words.add(new.offsets.to_numpy(), new.flatten().to_numpy(zero_copy_only=False))
+                chunks.add(*words.of(of_chunks, chunk_ends))
+                ends, ids = chunks.of(texts, text_ends)
                 if not digests:
-                    found = [np.frombuffer(b"".join(map(ids.__getitem__, t)), "<i4") for t in texts]
-                    yield pa.RecordBatch.from_arrays([names, _lists(found, pa.int32())], names=[id_col, "ids"])
+                    yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=[id_col, "ids"])
                     continue
-                count = [sum(map(len, map(ids.__getitem__, t))) // 4 for t in texts]
-                shas = [hashlib.sha256(b",".join(map(decimals.__getitem__, t))).hexdigest() for t in texts]
-                decoded = [hashlib.sha256(b"".join(map(raw.__getitem__, t))).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([names, pa.array(count, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    found = rows.mapInArrow(find, f"names array<{kind}>, texts array<array<int>>, parts array<array<int>>, words array<binary>, letters array<array<int>>, forget boolean")
+                shas, decoded = [], []
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    own = ids[a:b].tolist()
+                    shas.append(hashlib.sha256(b",".join(map(decimals.__getitem__, own))).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(table.__getitem__, own))).hexdigest())
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(ends), pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    found = rows.mapInArrow(find, f"names array<{kind}>, {', '.join(f'{n} binary' for n in numbers)}, words array<binary>, letters array<array<int>>, forget boolean")
     one = lambda table: F.transform(F.arrays_zip("words", "letters"), lambda w: encoded_word(w["words"], w["letters"], table))
-    return found.select("names", "texts", "parts", _with(tables(ranks), one).alias("ids"), "forget").mapInArrow(assemble, f"`{id_col}` {kind}, {out}")
-
-
-def _split(lists: pa.Array) -> list[np.ndarray]:
-    """The numbers of each list of an array of lists."""
-    ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return found.select("names", *numbers, _with(tables(ranks), one).alias("ids"), "forget").mapInArrow(assemble, f"`{id_col}` {kind}, {out}")
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

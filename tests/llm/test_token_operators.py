@@ -109,6 +109,16 @@ def test_bpe_equals_tiktoken(spark, awkward):
     assert back == {(r["doc_id"], (r["text"] or "").encode()) for r in rows.collect()}
 
 
+def test_bpe_of_small_slices_and_a_long_word(spark, monkeypatch):
+    """Several slices a batch, memory forgotten time and again, and a word of 6,000 letters."""
+    monkeypatch.setattr(bpe, "SLICE", 300)
+    monkeypatch.setattr(bpe, "CHUNKS", 150)
+    ranks, plain = _tiktoken()
+    rows = [(k, _mixed(k)) for k in range(80)] + [(90, "".join(_mixed(k) for k in range(400)).replace(" ", "")[:6000]), (91, None), (92, "")]
+    found = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), ranks, public_tokenizers.PATTERN)
+    assert {r["doc_id"]: r["ids"] for r in found.collect()} == {k: plain.encode_ordinary(t or "") for k, t in rows}
+
+
 def test_bpe_empty(empty):
     assert bpe.op4(empty, RANKS, public_tokenizers.PATTERN).collect() == []
 
