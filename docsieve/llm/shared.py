@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
 #: Bytes of text that a kernel takes at a time.
@@ -61,6 +62,25 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return broadcast(df) if df.count() * (8 * len(df.columns) + 16) <= limit else df
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs, each different (doc_id, text) once, as a table with a number of its own in place of the id; and the ids (number, own_id, h1), h1 being a digest of the text.
+
+    Numbers are in order of the ids, then of digests of the texts; texts without an id come last. Of rows equal in id and text, the least in the other columns stays.
+    """
+    digests = {"h1": F.xxhash64(F.col("text").cast("string")), "h2": F.xxhash64(F.lit(1), F.col("text").cast("string"))}
+    rows = docs.withColumns(digests)
+    keys = rows.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_last("doc_id"), "h1", "h2")
+    keys = written(keys.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    if not keys.where("n > 1").isEmpty():
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        least = F.min(F.struct(*others, "text")).alias("x")
+        rows = rows.groupBy("doc_id", "h1", "h2").agg(least).select("doc_id", "h1", "h2", *(f"x.{c}" for c in (*others, "text")))
+    same = [F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("r.h1") == F.col("k.h1"), F.col("r.h2") == F.col("k.h2")]
+    named = rows.alias("r").join(small(keys).alias("k"), same)
+    table = named.select(*(F.col("k.number").alias(c) if c == "doc_id" else F.col(f"r.{c}") for c in docs.columns))
+    return written(table, "numbered"), keys.select("number", F.col("doc_id").alias("own_id"), "h1")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts (null: empty) one after the other, and the offsets of each."""
     if isinstance(column, pa.ChunkedArray):

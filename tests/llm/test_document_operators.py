@@ -161,6 +161,35 @@ def test_passages_around_a_common_phrase(spark, seed, size):
     assert not missed
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    """Two texts of one id, the one much shorter, and a repeated row; passages go from the right ones."""
+    passage = prose(1, 70)
+    rows = [(1, f"{prose(2, 30)} {passage}"), (2, "a short text"), (2, f"{prose(3, 40)} {passage} {prose(4, 30)}"), (2, "a short text"), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs)
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["other_id"]) for r in found.collect()] == [(2, 40, 110, 1)]
+    out = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.without_passages(docs, found).collect()), key=str)
+    assert out == sorted([*rows[:2], (2, f"{prose(3, 40)}  {prose(4, 30)}"), *rows[3:]], key=str)
+
+
+def test_near_passages_are_found(spark):
+    """Recall of passages with single words changed, deleted or inserted, against the words of the planted places."""
+    rows, planted = [], {}
+    for k in range(60):
+        w = prose(30000 + k, 90).split(" ")
+        near = [*w]
+        for j in (20, 65)[: 1 + k % 2]:
+            near[j : j + 1] = [["other"], [], ["one", "more"]][(k + j) % 3]
+        rows += [(k + 1, f"{prose(31000 + k, 50)} {' '.join(w)} {prose(32000 + k, 50)}"), (1000 + k, f"{prose(33000 + k, 30)} {' '.join(near)} {prose(34000 + k, 40)}")]
+        planted[1000 + k] = set(range(30, 30 + len(near)))
+    found: dict = {}
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    share = [len(words & found.get(i, set())) / len(words) for i, words in planted.items()]
+    assert sum(x > 0.9 for x in share) >= 0.9 * len(share)
+    assert not set(found) - set(planted)
+
+
 def test_passages_of_members_that_met_the_pivot(spark):
     """A and B share a passage, B and C another that overlaps it, A and C too little."""
     rows = []
