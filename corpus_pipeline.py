@@ -17,25 +17,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.identified(docs, language_id.fit(docs.select("doc_id", "text", "lang")), LEAST_LANGUAGE_SCORE)
 
 
-def _numbered(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame]:
-    """docs, each different (doc_id, text) once, as a table with a number of its own in place of the id; and the ids (number, doc_id).
-
-    Numbers are in order of the ids, then of digests of the texts; texts without an id come last. Of rows equal in id and text, the least in the columns `kept` stays.
-    """
-    digests = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
-    rows = docs.withColumns(digests)
-    keys = rows.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_last("doc_id"), "h1", "h2")
-    keys = shared.written(keys.withColumn("number", F.monotonically_increasing_id()), "numbers")
-    if not keys.where("n > 1").isEmpty():
-        others = [c for c in kept if c not in ("doc_id", "text")]
-        least = F.min(F.struct(*others, "text")).alias("x")
-        rows = rows.groupBy("doc_id", "h1", "h2").agg(least).select("doc_id", "h1", "h2", *(f"x.{c}" for c in (*others, "text")))
-    same = [F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("r.h1") == F.col("k.h1"), F.col("r.h2") == F.col("k.h2")]
-    named = rows.alias("r").join(shared.small(keys).alias("k"), same)
-    table = named.select(*(F.col("k.number").alias(c) if c == "doc_id" else F.col(f"r.{c}") for c in docs.columns))
-    return shared.written(table, "numbered"), keys.select("number", F.col("doc_id").alias("own_id"))
-
-
 def _renamed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs with their own ids again."""
     found = docs.join(shared.small(ids), docs["doc_id"] == ids["number"])
@@ -47,14 +28,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of one id are documents each if their texts differ, else one. Documents without an id stay unless a text with an id, or an earlier one without, links with theirs.
     """
-    table, ids = _numbered(docs, docs.columns)
+    table, ids = shared.numbered(docs)
     first = jaccard_join.join(table).where("doc_id = component_id").select("doc_id")
     return _renamed(table.join(first, "doc_id", "left_semi").select(docs.columns), ids)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every passage left only in the first document that has it, in the order of ids; different texts of one id, and those without, are documents each. Equal rows are one."""
-    table, ids = _numbered(docs, docs.columns)
+    table, ids = shared.numbered(docs)
     return _renamed(substring_dedup.without_passages(table, substring_dedup.repeated_passages(table)), ids)
 
 
