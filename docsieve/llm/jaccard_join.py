@@ -356,6 +356,7 @@ def _together(links: list[DataFrame]) -> DataFrame:
     return out
 
 
+@shared.tidy
 def join(docs: DataFrame, limit: int = REGION, shingles: int = REGION_SHINGLES, n_pivots: int = PIVOTS) -> DataFrame:
     """Per document of a table (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     docs = docs.select("doc_id", "text")

@@ -6,6 +6,7 @@ slice and not by the partition. A word is a run of bytes other than 0x20 and 0x0
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_path = path
+    if _scopes:
+        _scopes[-1].append(table)
     return table
 
 
@@ -53,6 +56,30 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The tables written by each tidy() function that runs.
+_scopes: list[list[DataFrame]] = []
+
+
+def tidy(function):
+    """A function that returns a DataFrame, whose result is written; the tables that it wrote on the way are deleted then."""
+
+    @functools.wraps(function)
+    def run(*args, **kwargs):
+        _scopes.append([])
+        try:
+            result = function(*args, **kwargs)
+            own = _scopes.pop()
+            out = written(result, function.__name__.strip("_"))
+        except BaseException:
+            del _scopes[:]
+            raise
+        for table in own:
+            discard(table)
+        return out
+
+    return run
+
+
 #: Bytes up to which a written table of numbers goes to every task.
 BROADCAST_BYTES = 1 << 25
 
@@ -63,14 +90,17 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs, each different (doc_id, text) once, as a table with a number of its own in place of the id; and the ids (number, own_id, h1), h1 being a digest of the text.
+    """docs, each different (doc_id, text) once, with a number of its own in place of the id; and the ids (number, own_id, h1), h1 being a digest of the text.
 
     Numbers are in order of the ids, then of digests of the texts; texts without an id come last. Of rows equal in id and text, the least in the other columns stays.
     """
     digests = {"h1": F.xxhash64(F.col("text").cast("string")), "h2": F.xxhash64(F.lit(1), F.col("text").cast("string"))}
     rows = docs.withColumns(digests)
-    keys = rows.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_last("doc_id"), "h1", "h2")
-    keys = written(keys.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    keys = written(rows.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")), "keys")
+    if keys.where("doc_id IS NULL OR n > 1").isEmpty() and keys.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # The ids tell the rows apart as they are.
+        return docs.withColumn("doc_id", F.col("doc_id").cast("long")), keys.select(F.col("doc_id").cast("long").alias("number"), F.col("doc_id").alias("own_id"), "h1")
+    keys = written(keys.orderBy(F.asc_nulls_last("doc_id"), "h1", "h2").withColumn("number", F.monotonically_increasing_id()), "numbers")
     if not keys.where("n > 1").isEmpty():
         others = [c for c in docs.columns if c not in ("doc_id", "text")]
         least = F.min(F.struct(*others, "text")).alias("x")
