@@ -186,6 +186,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         seen[size] += 1
                 columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(owner), pa.int32()), pa.array(place, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        encode.forget()
 
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()

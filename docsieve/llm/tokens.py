@@ -93,6 +93,11 @@ class Encoder:
         return out
 
 
+    def forget(self) -> None:
+        """Empties the cache, so that a worker that waits for other work holds little."""
+        self._known, self._old = {}, {}
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
