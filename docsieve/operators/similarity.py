@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ def nearest(docs: DataFrame, exemplars: DataFrame, key: str, item: str, text: st
 
 
 def advisory(deterministic: Column, evidence: Column, terms: Column, similarity: Column) -> Column:
-    """The weighted sum of signals between 0 and 1, clamped, times 100."""
-    total = WEIGHTS["deterministic"] * deterministic + WEIGHTS["evidence"] * evidence + WEIGHTS["terms"] * terms + WEIGHTS["similarity"] * similarity
-    return F.round(100 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 4)
+    """The weighted sum of signals between 0 and 1, clamped, times 100; in decimals, so that it doesn't depend on the order of the sum."""
+    parts = {"deterministic": deterministic, "evidence": evidence, "terms": terms, "similarity": similarity}
+    total = sum((F.lit(Decimal(str(WEIGHTS[k]))) * F.round(v, 6).cast("decimal(10,6)") for k, v in parts.items()), F.lit(Decimal(0)))
+    return F.round(100 * F.least(F.lit(Decimal(1)), F.greatest(F.lit(Decimal(0)), total)), 4).cast("double")

@@ -1,7 +1,8 @@
 """Spans: every match of the rules in every document, as one projection and one explode.
 
 A text is split by a pattern and its matches are extracted; the lengths of the pieces give the offsets. All rules go into one
-array and one explode, so a document is read once whatever the number of rules, and nothing leaves the JVM.
+array and one explode, so a document is read once whatever the number of rules, and nothing leaves the JVM. A rule's expression
+runs only over texts that hold one of the literals that its matches need.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.functions import anchors
 from docsieve.functions import text as T
 from docsieve.functions.checks import CHECKS
 from docsieve.functions.rules import SEVERITY_SCORE, Rule
@@ -20,43 +22,51 @@ from docsieve.functions.rules import SEVERITY_SCORE, Rule
 _ROW = "struct<start_char:int,end_char:int,matched_text:string>"
 
 
-def matches(text: Column, pattern: str, cap: bool = False) -> Column:
-    """Array of (start_char, end_char, matched_text); with cap, of group 1, which has to end the match."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if cap else whole
-    none = F.expr(f"cast(array() as array<{_ROW}>)")
-    walk = F.aggregate(
-        F.arrays_zip(whole.alias("m"), part.alias("p"), F.transform(F.split(text, pattern, -1), F.length).alias("gap")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.when(x["m"].isNull(), s).otherwise(
-            F.struct(
-                (s["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-                F.concat(
-                    s["out"],
-                    F.array(F.struct((s["at"] + x["gap"] + F.length(x["m"]) - F.length(x["p"])).alias("start_char"), (s["at"] + x["gap"] + F.length(x["m"])).alias("end_char"), x["p"].alias("matched_text"))),
-                ).alias("out"),
-            )
-        ),
-    )["out"]
-    return F.when(text.rlike(pattern), walk).otherwise(none)
+def quoted(value: str) -> str:
+    """A string as a literal of Spark's SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
+
+
+def matches(text: str, pattern: str, cap: bool = False, lower: str | None = None) -> Column:
+    """Array of (start_char, end_char, matched_text) of a text column, given by name; with cap, of group 1, which has to end the match.
+
+    Given the name of a column with the text in lower case, texts without the pattern's literals aren't searched. The lengths of the pieces between
+    matches, and of the matches, are summed up from left to right. It is SQL text, as many small column calls take long to plan.
+    """
+    p = quoted(pattern)
+    pieces = f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'p', regexp_extract_all({text}, {p}, {int(cap)}), 'gap', split({text}, {p}, -1))"
+    end = "s.at + length(w.gap[i]) + length(w.m[i])"
+    walk = f"""transform(array({pieces}), w -> aggregate(sequence(0, size(w.m) - 1), named_struct('at', 0, 'out', cast(array() AS array<{_ROW}>)), (s, i) -> named_struct('at', {end},
+        'out', concat(s.out, array(named_struct('start_char', {end} - length(w.p[i]), 'end_char', {end}, 'matched_text', w.p[i]))))).out)[0]"""
+    likely = f"{text} RLIKE {p}"
+    found = anchors.literals(pattern) if lower else []
+    if found:
+        likely = f"({' OR '.join(f'contains({lower}, {quoted(x)})' for x in found)}) AND {likely}"
+    return F.expr(f"CASE WHEN {likely} THEN {walk} ELSE cast(array() AS array<{_ROW}>) END")
 
 
 def find(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", guarded: bool = True) -> DataFrame:
     """(id, rule, category, severity, score, start_char, end_char, matched_text) of every finding that passes its rule's check and guard."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.col("__text")
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__lower", F.lower("__text"))
 
     def named(rule: Rule) -> Column:
         def one(x: Column) -> Column:
-            return F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"), F.lit(SEVERITY_SCORE[rule.severity]).alias("score"), x["start_char"].alias("start_char"), x["end_char"].alias("end_char"), x["matched_text"].alias("matched_text"))
+            return F.struct(F.lit(rules.index(rule)).alias("ord"), x.alias("x"))
 
         def passes(x: Column) -> Column:
             ok = CHECKS[rule.check](x["matched_text"]) if rule.check else F.lit(True)
             return ok & ~T.line_of(text, x["start_char"], x["end_char"]).rlike(rule.guard) if rule.guard and guarded else ok
 
-        found = matches(text, rule.pattern, rule.cap)
+        found = matches("`__text`", rule.pattern, rule.cap, "`__lower`")
         return F.transform(F.filter(found, passes) if rule.check or (rule.guard and guarded) else found, one)
 
-    return docs.select(F.col(id_col), F.explode(F.concat(*(named(r) for r in rules))).alias("f")).select(id_col, "f.*")
+    found = rows.select(F.col(id_col), F.explode(F.concat(*(named(r) for r in rules))).alias("f"))
+    of_rule = lambda values: F.get(F.expr(f"array({', '.join(values)})"), F.col("f.ord"))
+    return found.select(
+        id_col, of_rule(quoted(r.name) for r in rules).alias("rule"), of_rule(quoted(r.category) for r in rules).alias("category"),
+        of_rule(quoted(r.severity) for r in rules).alias("severity"), of_rule(f"{SEVERITY_SCORE[r.severity]}D" for r in rules).alias("score"), "f.x.*",
+    )
 
 
 def find_python(docs: DataFrame, rules: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import rules
 from docsieve.operators import journal, spans
 from docsieve.plans import oracle
+from docsieve.sources import tables
 
 #: Events that a test of the chain alters or loses, and the retention limit.
 _ALTERED, _LOST, _KEEP_DAYS, _NOW = 97, 89, 14, "2024-01-31"
@@ -56,17 +57,17 @@ def min_wait_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("started IS NOT NULL AND decided IS NOT NULL").select("review_id", (F.col("decided") >= F.col("started") + F.expr("INTERVAL 1 HOUR")).alias("waited"))
 
 
-def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), rules.IDENTIFIERS[:1])
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.find(tables.table(spark, sf_dir, "documents", "doc_id", "text"), rules.IDENTIFIERS)
 
 
 def subject_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.subject_index(_emails(spark, sf_dir))
+    return journal.subject_index(_subjects(spark, sf_dir))
 
 
 def subject_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after the subjects of every fifth document are erased."""
-    index = journal.subject_index(_emails(spark, sf_dir))
+    index = journal.subject_index(_subjects(spark, sf_dir))
     return index.join(index.where("doc_id % 5 = 0").select("subject_key").distinct(), "subject_key", "left_anti")
 
 
@@ -126,7 +127,7 @@ _J = f"""j AS (
   FROM events WHERE user_id IS NOT NULL)"""
 _DIGEST = "sha256(concat_ws('|', review_id, seq, kind, finding_id, action))"
 _LATEST = "l AS (SELECT review_id, finding_id, max_by(action, seq) AS action, count(*) AS n FROM j WHERE kind = 'decision_recorded' GROUP BY ALL)"
-_INDEX = f"i AS (SELECT DISTINCT sha256(rule || ':' || lower(trim(matched_text))) AS subject_key, rule, doc_id FROM ({oracle.spans(rules.IDENTIFIERS[:1])}))"
+_INDEX = f"i AS (SELECT DISTINCT sha256(rule || ':' || lower(trim(matched_text))) AS subject_key, rule, doc_id FROM ({oracle.spans(rules.IDENTIFIERS)}))"
 ORACLE_SQL = {
     "journal_replay_latest": f"WITH {_J}, {_LATEST} SELECT * FROM l",
     "journal_chain_check": f"""WITH {_J}, c AS (SELECT *, lag({_DIGEST}, 1, 'GENESIS') OVER (PARTITION BY review_id ORDER BY seq) AS prev_digest FROM j),

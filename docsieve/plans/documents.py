@@ -9,13 +9,14 @@ from docsieve.functions import rules
 from docsieve.functions.rules import Rule
 from docsieve.operators import joins, rewrite, scoring, spans, structure
 from docsieve.plans import oracle
+from docsieve.sources import tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return tables.table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import rules
 from docsieve.operators import evaluation, journal, scoring, similarity, spans
 from docsieve.plans import audit, documents, oracle
-from docsieve.sources import html
+from docsieve.sources import html, tables
 
 _THRESHOLDS = [10, 25, 40, 55, 70, 85]
 #: Least documents of each source and language that coverage asks for.
@@ -19,7 +19,7 @@ _MINIMA = 100
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.table(spark, sf_dir, name)
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +157,8 @@ ORACLE_SQL = {
       dn AS (SELECT doc_id, sum(n * n) AS n2 FROM d GROUP BY 1), bn AS (SELECT item_id, sum(m * m) AS m2 FROM b GROUP BY 1),
       p AS (SELECT doc_id, item_id, round(sum(n * m) / sqrt(any_value(n2)::DOUBLE * any_value(m2)), 6) AS similarity FROM d JOIN b USING (token) JOIN dn USING (doc_id) JOIN bn USING (item_id) GROUP BY ALL)
       SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id) = 1""",
-    "advisory_score": f"""WITH {documents._SCORES}, {_HITS}, x AS (SELECT doc_id, document_score / 100 AS d, least(1.0::DOUBLE, {_DENSITY} / 10) AS t FROM reviews JOIN h USING (doc_id))
-      SELECT doc_id, round(100 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.55::DOUBLE * d + 0.2::DOUBLE * CASE WHEN d > 0 THEN 0.5::DOUBLE ELSE 0 END + 0.15::DOUBLE * t)), 4) AS advisory FROM x""",
+    "advisory_score": f"""WITH {documents._SCORES}, {_HITS}, x AS (SELECT doc_id, round(document_score / 100, 6)::DECIMAL(10, 6) AS d, round(least(1.0::DOUBLE, {_DENSITY} / 10), 6)::DECIMAL(10, 6) AS t FROM reviews JOIN h USING (doc_id))
+      SELECT doc_id, round(100 * least(1::DECIMAL(12, 8), greatest(0::DECIMAL(12, 8), (0.55 * d + 0.20 * CASE WHEN d > 0 THEN 0.5 ELSE 0 END + 0.15 * t)::DECIMAL(12, 8))), 4)::DOUBLE AS advisory FROM x""",
     "html_visible_text": f"SELECT page_id, length(t)::INT AS n_chars, sha256(t) AS text_sha256 FROM (SELECT page_id, {_visible()} AS t FROM pages)",
     "html_hidden_attrs": f"SELECT page_id, len(v)::INT AS n_values, sha256(array_to_string(v, chr(10))) AS values_sha256 FROM (SELECT page_id, {_VALUES} AS v FROM pages)",
     "html_findings": f"WITH hidden AS (SELECT page_id, array_to_string({_VALUES}, chr(10)) AS text FROM pages), f AS ({oracle.spans(rules.IDENTIFIERS, 'hidden', key='page_id')}) SELECT rule, count(*) AS n FROM f GROUP BY 1",

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docsieve.sources import tables
+
 _PERSON = "CASE o_custkey % 4 WHEN 0 THEN 'Mr Alan Tan' WHEN 1 THEN 'Ms Beth Lim' WHEN 2 THEN 'Dr Carl Ong' ELSE 'the client' END"
 _CODENAME = "CASE o_orderkey % 5 WHEN 0 THEN 'project plan' WHEN 1 THEN 'Project Falcon' WHEN 2 THEN 'Project Harbor Holdings' WHEN 3 THEN 'Project Orchid' ELSE 'project code Summit' END"
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'was publicly announced in a press release at https://example.com/news' WHEN 'O' THEN 'remains confidential before announcement' ELSE 'is not confidential' END"
@@ -22,5 +24,5 @@ SQL = f"SELECT o_orderkey AS doc_id, o_custkey, o_totalprice, o_orderdate, {DOC_
 
 def memos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, o_custkey, o_totalprice, o_orderdate, document_type, text): one memo an order."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = tables.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     return orders.selectExpr("o_orderkey AS doc_id", "o_custkey", "o_totalprice", "o_orderdate", f"{DOC_TYPE} AS document_type", TEXT.replace("\n", "\\n") + " AS text")

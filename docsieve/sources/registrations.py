@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docsieve.sources import tables
+
 
 def _number(digits: int, salt: int) -> str:
     """So many digits, different for each customer."""
@@ -34,4 +36,4 @@ SQL = f"SELECT c_custkey, {TEXT} AS text FROM customer"
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, text): one sheet a customer."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", TEXT.replace("\n", "\\n") + " AS text")
+    return tables.table(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey", TEXT.replace("\n", "\\n") + " AS text")
