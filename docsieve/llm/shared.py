@@ -6,6 +6,7 @@ slice and not by the partition. A word is a run of bytes other than 0x20 and 0x0
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -41,7 +42,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its rows are fixed, and a lost executor costs no more than a read."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_path = path
     if _scopes:
@@ -49,6 +51,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+#: Rows of a batch that goes to Python: whole texts, and what is made of them, are held a batch at a time on either side.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Batches of at most BATCH_ROWS rows for the job inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     jvm = table.sparkSession._jvm
