@@ -3,8 +3,8 @@
 A task goes through its texts a slice at a time. The first step finds the words (matches of the splitting pattern) that the task hasn't met yet,
 and turns each text into numbers of its chunks (words with the spaces before them), which are split once each.
 Spark then folds the merges over the bytes of each new word: a word is an array of token ids beside one of the ranks at which neighbours merge, and every
-step joins the leftmost pair of least rank, whose rank is the id of what it becomes. The rank maps are literals of the plan, arrays of small buckets
-addressed by a checksum of the bytes or of the pair, so a lookup doesn't depend on the vocabulary's size. The last step puts the words' ids together
+step joins the leftmost pair of least rank, whose rank is the id of what it becomes. The rank maps are literals of the plan: an array of small buckets
+addressed by a checksum of a word's bytes, and an array in which each pair of tokens has a slot of its own, so a lookup doesn't depend on the vocabulary's size. The last step puts the words' ids together
 into those of the texts.
 
 All of that is one stage without a shuffle; words are distinct within a task, as far as it remembers them. A task remembers at most CHUNKS chunks of
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from docsieve.llm import shared
 from docsieve.llm.tokens import before_spaces, texts_of
 
-#: Chunks that a task remembers and their bytes, bytes of text that go through a step together, and buckets of the rank maps.
-CHUNKS, CHUNK_BYTES, SLICE, BUCKETS = 400_000, 16 << 20, 1 << 20, 1 << 16
+#: Chunks that a task remembers and their bytes, bytes of text that go through a step together, buckets of the map of words, and shifts tried at a time for a left token's row.
+CHUNKS, CHUNK_BYTES, SLICE, BUCKETS, TRIES = 400_000, 16 << 20, 1 << 20, 1 << 16, 512
 #: Bits of a token's id and of a piece's place in its word, and the rank of what doesn't merge.
 _ID, _PLACE, _NONE = 17, 29, (1 << 17) - 1
 
@@ -42,25 +42,58 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _bucketed(entries: Iterator[tuple[int, object, int]], kind: str) -> Column:
-    """A constant array of buckets {k: keys, r: ranks}, from (bucket, key, rank)."""
-    buckets: list[dict[str, list]] = [{"k": [], "r": []} for _ in range(BUCKETS)]
-    for at, key, rank in entries:
-        buckets[at]["k"].append(key)
-        buckets[at]["r"].append(rank)
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<struct<k:array<{kind}>,r:array<bigint>>>")
+def _constant(values: object, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+
+
+def displaced(pairs: dict[tuple[int, int], int]) -> tuple[list[int | None], list[int | None]]:
+    """Two arrays, `shift` and `slots`: the entry of a pair (a, b) is slots[shift[a] + b], its rank beside a, and no two pairs share a slot.
+
+    The rows of the left tokens slide over each other, the longest first, until their entries fall into free slots.
+    """
+    rows: dict[int, list[int]] = {}
+    for left, right in pairs:
+        rows.setdefault(left, []).append(right)
+    width = 1 + max((b for _, b in pairs), default=0)
+    free = np.ones(width + 4 * len(pairs) + TRIES, bool)
+    shift: list[int | None] = [None] * (1 + max(rows, default=-1))
+    random = np.random.default_rng(0)
+    for left, right in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        places = np.array(right)
+        while True:
+            low = int(random.integers(0, len(free) - width - TRIES + 1))
+            fits = np.ones(TRIES, bool)
+            for b in places:
+                fits &= free[low + b : low + b + TRIES]
+            if fits.any():
+                break
+            if len(places) > 1 and random.random() < 0.01:
+                free = np.concatenate([free, np.ones(len(free) // 4, bool)])
+        shift[left] = low + int(np.argmax(fits))
+        free[shift[left] + places] = False
+    slots: list[int | None] = [None] * len(free)
+    for (left, right), rank in pairs.items():
+        slots[shift[left] + right] = (left << _ID) + rank
+    return shift, slots
 
 
 def tables(ranks: dict[bytes, int]) -> Column:
-    """The rank maps as a constant: `words` by bytes (in hex), `pairs` by the ids of two tokens that merge, and `letters`, the id of each byte."""
+    """The rank maps as a constant: `words` by bytes (in hex), `shift` and `slots` for two tokens that merge, and `pairs`, for a byte and the next (256 for none) its id and their rank."""
     if max(ranks.values()) >= _NONE:
         raise ValueError(f"ranks from {_NONE} on don't fit")
-    pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    words: list[dict[str, list]] = [{"k": [], "r": []} for _ in range(BUCKETS)]
+    for t, r in ranks.items():
+        bucket = words[zlib.crc32(t) % BUCKETS]
+        bucket["k"].append(t.hex().upper())
+        bucket["r"].append(r)
+    merging = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    shift, slots = displaced(merging)
+    byte = [ranks[bytes([b])] for b in range(256)]
+    first = [(merging.get((byte[a], byte[b]), _NONE) if b < 256 else _NONE) << _ID + _PLACE | byte[a] for a in range(256) for b in range(257)]
     return F.struct(
-        _bucketed(((zlib.crc32(t) % BUCKETS, t.hex().upper(), r) for t, r in ranks.items()), "string").alias("words"),
-        _bucketed(((31 * a + b & BUCKETS - 1, (a << _ID) + b, r) for (a, b), r in pairs.items()), "bigint").alias("pairs"),
-        F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>").alias("letters"),
-    )
+        _constant(words, "array<struct<k:array<string>,r:array<bigint>>>").alias("words"), _constant(shift, "array<int>").alias("shift"),
+        _constant(slots, "array<bigint>").alias("slots"), _constant(first, "array<bigint>").alias("pairs"),
+    )
 
 
 def _with(value: Column, body) -> Column:
@@ -68,46 +101,43 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _looked_up(bucket: Column, key: Column) -> Column:
-    return F.coalesce(F.get(bucket["r"], F.array_position(bucket["k"], key).cast("int") - 1), F.lit(_NONE).cast("long"))
-
-
 def _merges_at(table: Column, a: Column, b: Column) -> Column:
-    """The rank at which two tokens merge; null neighbours have none."""
-    return _looked_up(F.get(table["pairs"], (a * 31 + b).bitwiseAND(BUCKETS - 1).cast("int")), F.shiftleft(a, _ID) + b)
+    """The rank at which two tokens merge: what a slot holds beside the left token. With another left token it's more than any rank; empty slots and missing neighbours are null."""
+    entry = F.get(table["slots"], F.get(table["shift"], a.cast("int")) + b.cast("int"))
+    return F.least(entry.bitwiseXOR(F.shiftleft(a, _ID)), F.lit(_NONE).cast("long"))
 
 
 def encoded_word(word: Column, letters: Column, table: Column) -> Column:
     """Ids of a word, given as bytes and as an array of their values: its own rank if it has one, else what is left after all merges.
 
     A piece is one number: the rank at which it merges with the next piece, its place, its id, from the highest bits to the lowest.
-    The least of them is the leftmost pair of least rank.
+    The least of them is the leftmost pair of least rank. A piece that merges with nothing stands before the first.
     """
-    none = F.expr("cast(array() as array<bigint>)")
+    rest = (1 << _ID + _PLACE) - 1
+    places = rest - (1 << _ID) + 1
     id_of = lambda piece: piece.bitwiseAND((1 << _ID) - 1)
-    ranked = lambda a, b, rest: F.shiftleft(_merges_at(table, a, b), _ID + _PLACE).bitwiseOR(rest)
+    ranked = lambda a, b, low: F.shiftleft(_merges_at(table, a, b), _ID + _PLACE).bitwiseOR(low)
+    bound = F.lit((_NONE << _ID + _PLACE) + _NONE).cast("long")
 
-    def start(ids: Column) -> Column:
-        return F.transform(ids, lambda a, i: ranked(a, F.get(ids, i + 1), F.shiftleft(i.cast("long"), _ID).bitwiseOR(a)))
+    def start(b: Column, i: Column) -> Column:
+        return F.get(table["pairs"], b * 257 + F.coalesce(F.get(letters, i + 1), F.lit(256))).bitwiseOR(F.shiftleft((i + 1).cast("long"), _ID))
 
-    def merged(pieces: Column, at: Column) -> Column:
-        own, last = F.get(pieces, at - 1), F.get(pieces, at - 2)
-        rank = F.shiftright(own, _ID + _PLACE)
-        place = own.bitwiseAND((1 << _ID + _PLACE) - (1 << _ID))
-        new = ranked(rank, id_of(F.get(pieces, at + 1)), place.bitwiseOR(rank))
-        before = ranked(id_of(last), rank, last.bitwiseAND((1 << _ID + _PLACE) - 1))
-        middle = F.when(at > 1, F.array(before, new)).otherwise(F.array(new))
-        return F.concat(F.slice(pieces, F.lit(1), F.greatest(at - 2, F.lit(0))), middle, F.slice(pieces, at + 2, F.size(pieces)))
+    def merged(pieces: Column, least: Column, at: Column) -> Column:
+        rank, last = F.shiftright(least, _ID + _PLACE), F.get(pieces, at - 2)
+        new = ranked(rank, id_of(F.get(pieces, at + 1)), least.bitwiseAND(places).bitwiseOR(rank))
+        before = ranked(id_of(last), rank, last.bitwiseAND(rest))
+        return F.flatten(F.array(F.slice(pieces, F.lit(1), at - 2), F.array(before, new), F.slice(pieces, at + 2, F.size(pieces))))
 
     def step(pieces: Column, _: Column) -> Column:
-        least = F.array_min(pieces)
-        return F.when(least < _NONE << _ID + _PLACE, _with(F.array_position(pieces, least).cast("int"), lambda at: merged(pieces, at))).otherwise(pieces)
-
-    size = F.size(letters)
-    first = _with(F.transform(letters, lambda b: F.get(table["letters"], b)), start)
-    fold = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), first, step, lambda pieces: F.transform(pieces, id_of))
-    whole = _looked_up(F.get(table["words"], (F.crc32(word) % BUCKETS).cast("int")), F.hex(word))
-    return F.when(size == 0, none).otherwise(_with(whole, lambda rank: F.when(rank < _NONE, F.array(rank)).otherwise(fold)))
+        # Pieces up to the least one are counted by their places: array_position() leaves its loop by an exception, which costs more.
+        place = lambda piece: piece.bitwiseAND(places)
+        position = lambda least: F.size(F.filter(pieces, lambda x: place(x) <= place(least)))
+        return _with(F.array_min(pieces), lambda least: F.when(least < _NONE << _ID + _PLACE, _with(position(least), lambda at: merged(pieces, least, at))).otherwise(pieces))
+
+    fold = F.aggregate(letters, F.concat(F.array(bound), F.transform(letters, start)), step, lambda pieces: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), id_of))
+    found = lambda bucket: F.get(bucket["r"], F.array_position(bucket["k"], F.hex(word)).cast("int") - 1)
+    whole = _with(F.get(table["words"], (F.crc32(word) % BUCKETS).cast("int")), found)
+    return _with(whole, lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(fold))
 
 
 class _Numbers(dict):
