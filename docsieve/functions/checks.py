@@ -150,4 +150,6 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
     "th_national_id": lambda v: v.rlike("^[1-8]") & last_digit(v, (11 - weighted(v, list(range(13, 1, -1))) % 11) % 10),
     "cn_uscc": cn_uscc,
     "adult_age": lambda v: v.cast("int").between(20, 120),
+    "value_digit": lambda v: v.rlike("[0-9][A-Z0-9-]*$"),
+    "not_all_zero": lambda v: v.rlike("[1-9]"),
 }

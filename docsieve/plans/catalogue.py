@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from docsieve.plans import audit, documents, memos, quality, registrations
+from docsieve.plans import audit, documents, memos, quality, registrations, reviews
 
-QUERIES: dict = {**documents.QUERIES, **memos.QUERIES, **registrations.QUERIES, **audit.QUERIES, **quality.QUERIES}
-ORACLE_SQL: dict = {**documents.ORACLE_SQL, **memos.ORACLE_SQL, **registrations.ORACLE_SQL, **audit.ORACLE_SQL, **quality.ORACLE_SQL}
+QUERIES: dict = {**documents.QUERIES, **memos.QUERIES, **registrations.QUERIES, **audit.QUERIES, **quality.QUERIES, **reviews.QUERIES}
+ORACLE_SQL: dict = {**documents.ORACLE_SQL, **memos.ORACLE_SQL, **registrations.ORACLE_SQL, **audit.ORACLE_SQL, **quality.ORACLE_SQL, **reviews.ORACLE_SQL}

@@ -38,6 +38,8 @@ CHECKS = {
     "th_national_id": f"m[1] BETWEEN '1' AND '8' AND m[17]::INT = (11 - {_weighted('m', list(range(13, 1, -1)))} % 11) % 10",
     "cn_uscc": f"(list_sum(list_transform(string_split(m[1:17], ''), lambda c, i: (strpos('{checks.USCC_ALPHABET}', c) - 1) * {checks.USCC_WEIGHTS}[i])) + strpos('{checks.USCC_ALPHABET}', m[18]) - 1) % 31 = 0",
     "adult_age": "m::INT BETWEEN 20 AND 120",
+    "value_digit": "len(regexp_replace(regexp_extract(m, '[A-Z0-9-]*$'), '[^0-9]', '', 'g')) > 0",
+    "not_all_zero": "len(replace(regexp_replace(m, '[^0-9]', '', 'g'), '0', '')) > 0",
 }
 
 LINE = "regexp_extract(substr(t, 1, s), '[^\\n]*$') || substr(t, s + 1, e - s) || regexp_extract(substr(t, e + 1), '^[^\\n]*')"

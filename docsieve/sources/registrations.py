@@ -33,6 +33,49 @@ _LINES = [
 TEXT = f"concat({', '.join(_LINES)})"
 SQL = f"SELECT c_custkey, {TEXT} AS text FROM customer"
 
+_HEX = "0123456789abcdef"
+_uuid = lambda salt: [_number(8, salt), "'-'", _number(4, salt + 6), "'-4'", _number(3, salt + 12), "'-a'", _number(3, salt + 20), "'-'", _number(12, salt + 90)]
+#: A sheet of business, device and account records; a part of the numbers is all zero, or has no digit behind its label.
+_RECORD_LINES = [
+    "'Internal session ID: '", *_uuid(104729), "'_session; bank CIF '", _letter(3), _number(7, 15485863), "'. CIF No. UNKNOWN-'", _letter(7), "'.\n'",
+    "'Insurance member ID M-'", _number(6, 611953), "', policy no. POL'", _number(8, 86028121), "', session cookie=ck'", _number(14, 2971215073), "'\n'",
+    "'GAID: '", *_uuid(7368787), "', laptop serial number SN-'", _number(8, 94418953), "'\n'",
+    "'Companies House number '", _number(8, 433494437), "', VAT number DE'", f"CASE c_custkey % 5 WHEN 0 THEN '000000000' ELSE {_number(9, 413158511)} END", "', PDPC case no. PDPC-'", _number(4, 7919), "'-'", _number(3, 613), "'\n'",
+    "'Wallet address 0x'", _number(20, 2971215073), _number(19, 1134903170), _letter(5, _HEX), "', volume of 1,'", _number(3, 7), "',000 units at SGD 2,'", _number(3, 11), "',500 in all, 0,000,000 open.'",
+]
+RECORD_TEXT = f"concat({', '.join(_RECORD_LINES)})"
+RECORD_SQL = f"SELECT c_custkey, {RECORD_TEXT} AS text FROM customer"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, text): one sheet of records a customer."""
+    return tables.table(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey", RECORD_TEXT.replace("\n", "\\n") + " AS text")
+
+
+def _one_of(salt: int, *sentences: str) -> str:
+    """One of the sentences, by customer."""
+    cases = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(sentences))
+    return f"CASE (CAST(c_custkey AS BIGINT) * {salt}) % {len(sentences)} {cases} END"
+
+
+#: A sheet of markers: field identifiers, events of privacy law, inside information and weak markers, in part negated.
+_MARKER_LINES = [
+    _letter(3, "STFGM"), _number(7, 746773), _letter(11), "', UEN: '", _number(9, 413158511), "'K, EIN 12-'", _number(7, 6127411), "', Resident ID: '", _number(17, 2971215073), _letter(7, "0123456789X"), "', PAN ABC'", _letter(5, "PCHF"), "'E'", _number(4, 7907), "'F\n'",
+    "'Passport K'", _number(7, 611953), "', customer reference: CUS'", _number(6, 86028121), "', MRN: '", _number(8, 179424673), "', TFN '", _number(9, 275604541), "', MAC 0a:1b:'", _number(2, 31), "':'", _number(2, 37), "':'", _number(2, 41), "':ff, DOB 1970-0'", _letter(5, "123456789"), "'-1'", _letter(7, "0123456789"), "'\n'",
+    _one_of(3, "The data left under standard contractual clauses", "An adequacy decision is not needed", "He withdrew his consent", "There was excessive data collection", "Keep reasonable security safeguards", "A personal data breach without any breach notification to affected persons"), "'.\n'",
+    _one_of(5, "A material adverse effect is feared", "No material adverse change", "It is under embargo", "Nothing to report", "Project Lantern stays confidential"), "'. '",
+    _one_of(7, "Unit price: USD 12.50", "Royalty rate of 7.5%", "Volume commitment is 12,000 units", "Rebate rate: 3%"), "', over 1,'", _number(3, 7), "',250 in all.\n'",
+    _one_of(11, "Please share with the board", "The analyst call is fixed", "Names on the insider list", "An information barrier stands", "Mainnet launch in May", "A hard fork is near", "The transition plan changes"), "'. '",
+    _one_of(13, "Only limited assurance", "A ransomware attack was seen", "The primary endpoint missed", "A capital shortfall looms", "The reserves downgrade follows", "Settlement in principle was reached", "The deal is under consideration", "There is no lateral movement"), "'.'",
+]
+MARKER_TEXT = f"concat({', '.join(_MARKER_LINES)})"
+MARKER_SQL = f"SELECT c_custkey, {MARKER_TEXT} AS text FROM customer"
+
+
+def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, text): one sheet of markers a customer."""
+    return tables.table(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey", MARKER_TEXT.replace("\n", "\\n") + " AS text")
+
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, text): one sheet a customer."""
