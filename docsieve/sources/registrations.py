@@ -62,8 +62,8 @@ def _one_of(salt: int, *sentences: str) -> str:
 _MARKER_LINES = [
     _letter(3, "STFGM"), _number(7, 746773), _letter(11), "', UEN: '", _number(9, 413158511), "'K, EIN 12-'", _number(7, 6127411), "', Resident ID: '", _number(17, 2971215073), _letter(7, "0123456789X"), "', PAN ABC'", _letter(5, "PCHF"), "'E'", _number(4, 7907), "'F\n'",
     "'Passport K'", _number(7, 611953), "', customer reference: CUS'", _number(6, 86028121), "', MRN: '", _number(8, 179424673), "', TFN '", _number(9, 275604541), "', MAC 0a:1b:'", _number(2, 31), "':'", _number(2, 37), "':'", _number(2, 41), "':ff, DOB 1970-0'", _letter(5, "123456789"), "'-1'", _letter(7, "0123456789"), "'\n'",
-    _one_of(3, "The data left under standard contractual clauses", "An adequacy decision is not needed", "He withdrew his consent", "There was excessive data collection", "Keep reasonable security safeguards", "A personal data breach without any breach notification to affected persons"), "'.\n'",
-    _one_of(5, "A material adverse effect is feared", "No material adverse change", "It is under embargo", "Nothing to report", "Project Lantern stays confidential"), "'. '",
+    _one_of(7, "The data left under standard contractual clauses", "An adequacy decision is not needed", "He withdrew his consent", "There was excessive data collection", "Keep reasonable security safeguards", "A personal data breach and a breach notification to affected persons"), "'.\n'",
+    _one_of(3, "A material adverse effect is feared", "No material adverse change", "It is under embargo", "Nothing to report", "Project Lantern stays confidential"), "'. '",
     _one_of(7, "Unit price: USD 12.50", "Royalty rate of 7.5%", "Volume commitment is 12,000 units", "Rebate rate: 3%"), "', over 1,'", _number(3, 7), "',250 in all.\n'",
     _one_of(11, "Please share with the board", "The analyst call is fixed", "Names on the insider list", "An information barrier stands", "Mainnet launch in May", "A hard fork is near", "The transition plan changes"), "'. '",
     _one_of(13, "Only limited assurance", "A ransomware attack was seen", "The primary endpoint missed", "A capital shortfall looms", "The reserves downgrade follows", "Settlement in principle was reached", "The deal is under consideration", "There is no lateral movement"), "'.'",
