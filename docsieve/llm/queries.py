@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docsieve.llm import bpe, jaccard_join, language_id, packing, quality_rules, secret_scan, substring_dedup, token_store, topk_search, warc
+from docsieve.llm import bpe, conversation_trie, fill_in_middle, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, substring_dedup, token_store, topk_search, warc
 from docsieve.sources import tables
 
 
@@ -53,6 +53,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.op11(_table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op12(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.op13(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -64,8 +76,12 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
+
 def _secret_sql() -> str:
     """The secret scan for DuckDB: runs of each kind by splitting, windows of a candidate one row each."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -111,7 +127,65 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN sums_by USING (r)"""
 
 
+_TRIE_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rank,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc_table AS (
+  SELECT list(c ORDER BY b) AS crcs FROM (
+    SELECT b, c FROM (
+      WITH RECURSIVE step(b, k, c) AS (
+        SELECT b, 0, b FROM (SELECT unnest(range(256))::BIGINT AS b)
+        UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8)
+      SELECT b, c FROM step WHERE k = 8))),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda s, x: xor(s >> 8, crcs[xor(s & 255, x) + 1])), 4294967295) % 6 AS h,
+    conv_id - conv_id % 100 AS base
+  FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+rebuilt AS (
+  SELECT c.conv_id, t.rank AS o, role, text FROM c JOIN t ON t.conv_id = c.base AND t.rank <= h
+  UNION ALL SELECT c.conv_id, t.rank + 1000000, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.rank > h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS depth, md5(md5(role) || text) AS d, length(text) AS size FROM rebuilt),
+path AS (
+  SELECT conv_id, depth, string_agg(d, '') OVER w AS key, size, lead(depth) OVER w IS NULL AS last FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM placed) FROM c),
+node AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n, max(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM path GROUP BY ALL),
+kids AS (SELECT key[1:-33] AS key, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (key)),
+sums AS (
+  SELECT key[1:32 * up] AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM full_node) GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN sums USING (key) LEFT JOIN node p ON f.depth > 0 AND p.key = f.key[1:-33]"""
+
+
 ORACLE_SQL = {
+    "op11_conversation_trie": _TRIE_SQL,
+    "op12_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT r, doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d)),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+f AS (SELECT r, doc_id, i, line, k.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM l LEFT JOIN k USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY r""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, ('0x' || s[1:8])::BIGINT % (n + 1) AS a, ('0x' || s[9:16])::BIGINT % (n + 1) AS b, ('0x' || s[17:24])::BIGINT % 100 AS c, ('0x' || s[25:32])::BIGINT % 100 AS o FROM d),
+f AS (
+  SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN o < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(a, b) AS lo, greatest(a, b) AS hi FROM h),
+x AS (SELECT *, substr(t, 1, lo) AS p, substr(t, lo + 1, hi - lo) AS m, substr(t, hi + 1) AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM x""",
     "op5_warc": """
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
        CASE WHEN strlen(h) >= 1000 AND page_id IS DISTINCT FROM head AND head IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,

@@ -107,6 +107,19 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return broadcast(df) if df.count() * (8 * len(df.columns) + 16) <= limit else df
 
 
+#: Rows of one key that a task may have to take in a join.
+HOT_ROWS = 4096
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: list[str], weight: str, most: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows, a written table, with a written table that has a row a key, of which `weight` tells how many rows meet it.
+
+    Keys that more than `most` rows meet are at most as many as the rows by `most`; they go to the rows (broadcast behind small()'s check), and no task gets all rows of such a key.
+    """
+    hot = small(written(table.where(F.col(weight) > most), "hot"))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(table.where(F.col(weight) <= most), key))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs, each different (doc_id, text) once, with a number of its own in place of the id; and the ids (number, own_id, h1), h1 being a digest of the text.
 
@@ -179,12 +192,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: Values of bytes for a second hash beside span_hashes's own.
+OTHER_VALUES = np.random.default_rng(2025).integers(1, 2**64, 256, dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, from one running sum over the data."""
     power, inverse = _power_tables(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * power[: len(data)], out=total[1:])
+        np.cumsum(values[data] * power[: len(data)], out=total[1:])
         return mix((total[ends] - total[starts]) * inverse[starts])
 
 
