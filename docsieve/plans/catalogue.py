@@ -1,6 +1,7 @@
 """The registered queries and their SQL."""
 
-from docsieve.plans import audit, documents, memos, quality, registrations, reviews
+from docsieve.plans import audit, documents, memos, persons, quality, registrations, reviews
 
-QUERIES: dict = {**documents.QUERIES, **memos.QUERIES, **registrations.QUERIES, **audit.QUERIES, **quality.QUERIES, **reviews.QUERIES}
-ORACLE_SQL: dict = {**documents.ORACLE_SQL, **memos.ORACLE_SQL, **registrations.ORACLE_SQL, **audit.ORACLE_SQL, **quality.ORACLE_SQL, **reviews.ORACLE_SQL}
+_MODULES = [documents, memos, registrations, audit, quality, reviews, persons]
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
