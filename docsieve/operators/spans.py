@@ -27,6 +27,18 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
 
 
+#: Matches of one text whose lengths are summed up one after the other.
+_BLOCK = 64
+
+
+def running(sizes: str) -> str:
+    """SQL for the running sums of a non-empty array of integers, whose name is given: totals of blocks, and what an entry's block holds up to it, so that many entries cost little more than few."""
+    blocks = f"sequence(0, cast((size({sizes}) - 1) DIV {_BLOCK} AS int))"
+    total = f"aggregate(slice({sizes}, b * {_BLOCK} + 1, {_BLOCK}), 0, (x, z) -> x + z)"
+    before = f"aggregate({blocks}, array(0), (s, b) -> concat(s, array(element_at(s, -1) + {total})))"
+    return f"transform({sizes}, (z, i) -> aggregate(slice({sizes}, i DIV {_BLOCK} * {_BLOCK} + 1, i % {_BLOCK} + 1), t[i DIV {_BLOCK}], (x, y) -> x + y))".join((f"transform(array({before}), t -> ", ")[0]"))
+
+
 def matches(text: str, pattern: str, cap: bool = False, lower: str | None = None) -> Column:
     """Array of (start_char, end_char, matched_text) of a text column, given by name; with cap, of group 1, which has to end the match.
 
@@ -34,15 +46,15 @@ def matches(text: str, pattern: str, cap: bool = False, lower: str | None = None
     matches, and of the matches, are summed up from left to right. It is SQL text, as many small column calls take long to plan.
     """
     p = quoted(pattern)
-    pieces = f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'p', regexp_extract_all({text}, {p}, {int(cap)}), 'gap', split({text}, {p}, -1))"
-    end = "s.at + length(w.gap[i]) + length(w.m[i])"
-    walk = f"""transform(array({pieces}), w -> aggregate(sequence(0, size(w.m) - 1), named_struct('at', 0, 'out', cast(array() AS array<{_ROW}>)), (s, i) -> named_struct('at', {end},
-        'out', concat(s.out, array(named_struct('start_char', {end} - length(w.p[i]), 'end_char', {end}, 'matched_text', w.p[i]))))).out)[0]"""
+    group = f", 'p', regexp_extract_all({text}, {p}, 1)" if cap else ""
+    pieces = f"named_struct('m', regexp_extract_all({text}, {p}, 0){group}, 'gap', split({text}, {p}, -1))"
+    sizes = "named_struct('p', w.p, 'size', zip_with(slice(w.gap, 1, size(w.m)), w.m, (g, m) -> length(g) + length(m)))".replace("w.p", "w.p" if cap else "w.m")
+    ends = f"transform(transform(array({pieces}), w -> {sizes}), w -> zip_with(w.p, {running('w.size')}, (p, e) -> named_struct('start_char', e - length(p), 'end_char', e, 'matched_text', p)))[0]"
     likely = f"{text} RLIKE {p}"
     found = anchors.literals(pattern) if lower else []
     if found:
         likely = f"({' OR '.join(f'contains({lower}, {quoted(x)})' for x in found)}) AND {likely}"
-    return F.expr(f"CASE WHEN {likely} THEN {walk} ELSE cast(array() AS array<{_ROW}>) END")
+    return F.expr(f"CASE WHEN {likely} THEN {ends} ELSE cast(array() AS array<{_ROW}>) END")
 
 
 def find(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", guarded: bool = True) -> DataFrame:
