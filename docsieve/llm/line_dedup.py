@@ -123,8 +123,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def twice_filter(rows: DataFrame, least: int = LEAST_CHARS, most_bits: int = MOST_BITS) -> np.ndarray:
     """The bits, eight a byte, that keys of at least two documents set, and few others."""
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    wanted = max(1, BITS_PER_KEY * (chars // (least + 1)) // SEGMENT)
+    lines_of = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    keys = rows.agg(F.sum(F.least(lines_of, F.floor((F.length("text") + 1) / (least + 1))))).first()[0] or 0
+    wanted = max(1, BITS_PER_KEY * keys // SEGMENT)
     segments = min(1 << (wanted - 1).bit_length(), max(1, most_bits // SEGMENT))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
