@@ -83,6 +83,8 @@ def _words(text: str, start: int, end: int) -> bool:
 
 def _linked(text: str, names: list[dict], terms: set[str]) -> list[tuple[int, int, str, str, str]]:
     """(start, end, text, how, person) of each finding of one document, in order of the passes; names have start_char, end_char, matched_text, bare and person."""
+    if not names:
+        return []
     taken, out, first = bytearray(len(text)), [], {}
     for n in names:
         taken[n["start_char"] : n["end_char"]] = b"\x01" * (n["end_char"] - n["start_char"])
@@ -129,7 +131,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type
     """
     heavy = F.lower(F.trim(F.col(type_col))).isin(WEIGHTY_TYPES) if type_col else F.lit(False)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(heavy, F.lit(False)).alias("__heavy"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__names", spans.matches("`__text`", NAME)).where(F.size("__names") > 0).withColumn("__terms", defined_terms("__text"))
+    rows = rows.where(F.col("__text").rlike(NAME)).withColumn("__names", spans.matches("`__text`", NAME)).withColumn("__terms", defined_terms("__text"))
     kept = F.filter("__names", lambda n: undefined(n["matched_text"], F.col("__terms")))
     named = F.transform(kept, lambda n: F.struct(n["start_char"].alias("start_char"), n["end_char"].alias("end_char"), n["matched_text"].alias("matched_text"), stripped(n["matched_text"]).alias("bare"), canonical(n["matched_text"]).alias("person")))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -144,7 +146,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([at.take(take), heavies.take(take), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "heavy", "start_char", "end_char", "matched_text", "how", "person"])
 
-    found = rows.select("__id", "__heavy", "__text", named.alias("n"), "__terms").where(F.size("n") > 0)
+    found = rows.select("__id", "__heavy", "__text", named.alias("n"), "__terms")
     found = found.mapInArrow(run, f"id {kind}, heavy boolean, start_char int, end_char int, matched_text string, how string, person string")
     severity = F.when(F.col("heavy"), "high").otherwise("low")
     return found.select(F.col("id").alias(id_col), F.lit("named_person").alias("rule"), severity.alias("severity"), "start_char", "end_char", "matched_text", "how", "person")
