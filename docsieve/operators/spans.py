@@ -27,6 +27,11 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, each computed once however often it is used or filtered on: the optimizer copies no expression through a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 #: Matches of one text whose lengths are summed up one after the other.
 _BLOCK = 64
 
