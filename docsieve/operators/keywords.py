@@ -22,23 +22,31 @@ _WORD = re.compile(r"\w")
 MOST_CHARS = 1 << 25
 
 
+def _edge(char: str) -> bool:
+    """Whether a phrase's first or last character asks for the end of a word: Latin letters and digits do, scripts that write words together don't."""
+    return char.isascii() and bool(_WORD.match(char))
+
+
 def normal(phrase: str) -> str:
     return _RUN.sub(" ", phrase.strip()).translate(_LOWER)
 
 
-def automaton(phrases: list[str]) -> ahocorasick.Automaton:
-    """Of each different phrase the number of its first place in the list."""
-    out = ahocorasick.Automaton()
+def automaton(phrases: list[str], groups: list[int] | None = None) -> ahocorasick.Automaton:
+    """Phrases by their normal form; of equal ones in one group the first counts."""
+    own: dict[str, dict[int, int]] = {}
     for k, phrase in enumerate(phrases):
         word = normal(phrase)
-        if word and word not in out:
-            out.add_word(word, (k, len(word), bool(_WORD.match(word[0])), bool(_WORD.match(word[-1]))))
+        if word:
+            own.setdefault(word, {}).setdefault(groups[k] if groups else 0, k)
+    out = ahocorasick.Automaton()
+    for word, by_group in own.items():
+        out.add_word(word, (len(word), _edge(word[0]), _edge(word[-1]), list(by_group.items())))
     out.make_automaton()
     return out
 
 
 def search(found_by: ahocorasick.Automaton, text: str) -> list[tuple[int, int, int]]:
-    """(phrase, start, end) of the phrases that count in one text."""
+    """(phrase, start, end) of the phrases that count in one text, group by group."""
     flat, places, lost = [], [0], [0]  # the text with one blank for each run; where runs were shortened, and by how much in all
     at = size = 0
     for m in _RUN.finditer(text):
@@ -50,39 +58,42 @@ def search(found_by: ahocorasick.Automaton, text: str) -> list[tuple[int, int, i
             lost.append(lost[-1] + at - m.start() - 1)
     flat = "".join([*flat, text[at:]]).translate(_LOWER)
     candidates = []
-    for last, (k, length, opens, closes) in found_by.iter(flat):
+    for last, (length, opens, closes, numbers) in found_by.iter(flat):
         start, end = last + 1 - length, last + 1
         if not (opens and start and _WORD.match(flat[start - 1])) and not (closes and end < len(flat) and _WORD.match(flat[end])):
-            candidates.append((start, -end, k))
-    out, free = [], 0
+            candidates += [(group, start, -end, k) for group, k in numbers]
+    out, free, now = [], 0, None
     origin = lambda x: x + lost[bisect.bisect_right(places, x) - 1]
-    for start, end, k in sorted(candidates):
-        if start >= free:
-            free = -end
+    for group, start, end, k in sorted(candidates):
+        if group != now or start >= free:
+            free, now = -end, group
             out.append((k, origin(start), origin(-end - 1) + 1))
     return out
 
 
-def hits(docs: DataFrame, phrases: list[str], before: int = 0, after: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, phrase, start_char, end_char, left, right): phrase is a number in the list; left and right are the text around, of at most so many characters. Null text is empty; an empty lexicon finds nothing."""
+def hits(docs: DataFrame, phrases: list[str], before: int = 0, after: int = 0, id_col: str = "doc_id", text_col: str = "text", groups: list[int] | None = None) -> DataFrame:
+    """(id, phrase, start_char, end_char, left, found, right): phrase is a number in the list; left and right are the text around, of at most so many characters.
+
+    With groups, a number for each phrase, only phrases of one group contend for a place. Null text is empty; an empty lexicon finds nothing.
+    """
     if sum(map(len, phrases)) > MOST_CHARS:
         raise ValueError("a lexicon of this size has to be joined")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_by = automaton(phrases)
+        found_by = automaton(phrases, groups)
         for batch in batches:
             rows: list[tuple] = []
             for k, value in enumerate(batch.column(1)):
                 text = value.as_py() or ""
                 if len(found_by) and text:
-                    rows += [(k, p, s, e, text[max(0, s - before) : s], text[e : e + after]) for p, s, e in search(found_by, text)]
+                    rows += [(k, p, s, e, text[max(0, s - before) : s], text[s:e], text[e : e + after]) for p, s, e in search(found_by, text)]
             if rows:
                 at, *columns = (list(c) for c in zip(*rows, strict=True))
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "phrase", "start_char", "end_char", "left", "right"])
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "phrase", "start_char", "end_char", "left", "found", "right"])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, phrase int, start_char int, end_char int, left string, right string")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, phrase int, start_char int, end_char int, left string, found string, right string")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -92,6 +103,6 @@ def pattern(phrases: list[str]) -> str:
     def one(phrase: str) -> str:
         word = normal(phrase)
         body = r"\s+".join(map(re.escape, word.split(" ")))
-        return (r"\b" if _WORD.match(word[0]) and word[0].isascii() else "") + body + (r"\b" if _WORD.match(word[-1]) and word[-1].isascii() else "")
+        return (r"\b" if _edge(word[0]) else "") + body + (r"\b" if _edge(word[-1]) else "")
 
     return "(?i:" + "|".join(one(p) for p in sorted({normal(p) for p in phrases if normal(p)}, key=lambda x: (-len(x), x))) + ")"

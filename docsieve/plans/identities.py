@@ -36,13 +36,6 @@ def licence_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _q = oracle.quoted
 
 
-def _hits(source: str, phrases: list[str]) -> str:
-    """Rows (doc_id, text, phrase, s, e) of the phrases of a lexicon in a source."""
-    p = _q(keywords.pattern(phrases))
-    return f"""SELECT doc_id, text, ms[i] AS phrase, (coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, s + length(ms[i]) AS e
-        FROM (SELECT doc_id, text, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS ps FROM {source}))"""
-
-
 def _n(first: int, size: int, v: str = "v") -> str:
     return f"substr({v}, {first}, {size})::BIGINT"
 
@@ -96,7 +89,7 @@ def _national() -> str:
 sheets AS ({sheets.SQL}),
 lexicon(phrase, member_state, checked) AS (VALUES {', '.join(rows)}),
 f AS (
-  SELECT doc_id, l.member_state, l.checked, e, substr(text, e + 1, 80) AS tail FROM ({_hits('sheets', [name for name, *_ in national.fields()])}) h
+  SELECT doc_id, l.member_state, l.checked, e, substr(text, e + 1, 80) AS tail FROM ({oracle.hits('sheets', [name for name, *_ in national.fields()])}) h
   JOIN lexicon l ON l.phrase = lower(regexp_replace(h.phrase, '\\s+', ' ', 'g'))),
 values_found AS (SELECT *, CASE name WHEN 'fi_hetu' THEN m ELSE upper(regexp_replace(m, '[ ./-]', '', 'g')) END AS v FROM ({parts}) WHERE m <> ''),
 found AS (
@@ -113,7 +106,7 @@ sheets AS ({sheets.LICENCE_SQL}),
 states(code, name, shape) AS (VALUES {states}),
 known AS (SELECT map(list(k), list(code)) AS codes FROM (SELECT code AS k, code FROM states UNION ALL SELECT name, code FROM states)),
 h AS (
-  SELECT doc_id, e, text, substr(text, greatest(s - {licences.REACH}, 0) + 1, s - greatest(s - {licences.REACH}, 0)) AS lft, substr(text, e + 1, {licences.REACH + 40}) AS rgt FROM ({_hits('sheets', licences.LABELS)})),
+  SELECT doc_id, e, text, substr(text, greatest(s - {licences.REACH}, 0) + 1, s - greatest(s - {licences.REACH}, 0)) AS lft, substr(text, e + 1, {licences.REACH + 40}) AS rgt FROM ({oracle.hits('sheets', licences.LABELS)})),
 n AS (
   SELECT *, regexp_extract(rgt, {_q(f'{licences.SIGN}({licences.NUMBER}){licences.BEHIND}')}, 1) AS number, length(regexp_extract(rgt, {_q(f'{licences.SIGN}{licences.NUMBER}')})) AS stop FROM h),
 w AS (

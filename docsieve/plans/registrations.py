@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.functions import packs
-from docsieve.operators import spans
+from docsieve.operators import fields
 from docsieve.plans import oracle
-from docsieve.sources import registrations
+from docsieve.sources import registrations, rule_packs, tables
+
+#: The packs of jurisdictions that come with the library.
+PACKS = rule_packs.load()
+CODES = sorted({x.pack for x in [*PACKS.fields, *PACKS.patterns]} - {"RECORDS", "SECRETS"})
 
 _SHEETS = f"sheets AS ({registrations.SQL})"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,25 +21,34 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _pack(code: str) -> None:
-    own = [r for r in packs.PACKS if r.pack == code]
+    own = PACKS.of(code)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spans.find(registrations.sheets(spark, sf_dir), own, id_col="c_custkey")
+        return fields.review(registrations.sheets(spark, sf_dir), own, id_col="c_custkey")
 
     QUERIES[f"pack_{code.lower()}"] = query
-    ORACLE_SQL[f"pack_{code.lower()}"] = f"WITH {_SHEETS} {oracle.spans(own, 'sheets', 'c_custkey')}"
+    ORACLE_SQL[f"pack_{code.lower()}"] = f"WITH {_SHEETS} {oracle.packs(own, 'sheets', 'c_custkey')}"
 
 
-for _code in sorted({r.pack for r in packs.PACKS}):
+for _code in CODES:
     _pack(_code)
 
 
 def pack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each pack finds, all rules in one pass over the sheets."""
-    found = spans.find(registrations.sheets(spark, sf_dir), packs.PACKS, id_col="c_custkey")
+    """What each pack finds, all rules of all packs in one review."""
+    found = fields.review(registrations.sheets(spark, sf_dir), PACKS.of(*CODES), id_col="c_custkey")
     pack = F.upper(F.substring("rule", 1, 2))
     return found.groupBy(pack.alias("pack"), "rule", "severity").agg(F.count("*").alias("n_findings"), F.countDistinct("c_custkey").alias("n_customers"))
 
 
 QUERIES["pack_summary"] = pack_summary
-ORACLE_SQL["pack_summary"] = f"WITH {_SHEETS}, f AS ({oracle.spans(packs.PACKS, 'sheets', 'c_custkey')}) SELECT upper(rule[1:2]) AS pack, rule, severity, count(*) AS n_findings, count(DISTINCT c_custkey) AS n_customers FROM f GROUP BY ALL"
+ORACLE_SQL["pack_summary"] = f"WITH {_SHEETS}, f AS ({oracle.packs(PACKS.of(*CODES), 'sheets', 'c_custkey')}) SELECT upper(rule[1:2]) AS pack, rule, severity, count(*) AS n_findings, count(DISTINCT c_custkey) AS n_customers FROM f GROUP BY ALL"
+
+
+def secret_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values near the keywords of the packs' secret rules, over all documents."""
+    return fields.secrets(tables.table(spark, sf_dir, "documents", "doc_id", "text"), PACKS.secrets)
+
+
+QUERIES["secret_rules"] = secret_rules
+ORACLE_SQL["secret_rules"] = f"WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) {oracle.secrets(PACKS.secrets, 'docs')}"

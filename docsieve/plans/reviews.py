@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsieve.functions import records, rules
-from docsieve.operators import joins, reident, spans, structure
+from docsieve.functions import rules
+from docsieve.operators import fields, joins, reident, spans, structure
 from docsieve.plans import audit, documents, memos, oracle, quality
-from docsieve.sources import carrier, registrations, tables
+from docsieve.sources import carrier, registrations, rule_packs, tables
 
 #: Rules that a large number inside them gives way to.
 OVER_LARGE = ["financial_amount", "financial_percentage", "crypto_wallet_address", "eu_company_id", "uk_company_number", "payment_card", "phone_number"]
-_LARGE = [*records.RECORDS, *(r for r in rules.MNPI if r.name in ("financial_amount", "large_number"))]
+_RECORDS = rule_packs.load().of("RECORDS")
+_LARGE = [r for r in rules.MNPI if r.name in ("financial_amount", "large_number")]
 _MARKED = [*rules.FIELD_IDENTIFIERS, *rules.PRIVACY_EVENTS, *rules.MNPI, *rules.PROXIMITY]
 _WEAK = [r.name for r in rules.PROXIMITY]
 #: Delivery status by policy decision; fixed values.
@@ -22,12 +23,13 @@ _STAGES = [(1000, "large"), (100, "medium"), (1, "small")]
 
 
 def record_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.find(registrations.records(spark, sf_dir), records.RECORDS, id_col="c_custkey")
+    return fields.review(registrations.records(spark, sf_dir), _RECORDS, id_col="c_custkey")
 
 
 def large_number_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large numbers that no stronger finding holds and that aren't all zeros, beside the stronger findings."""
-    found = spans.find(registrations.records(spark, sf_dir), _LARGE, id_col="c_custkey")
+    docs = registrations.records(spark, sf_dir)
+    found = fields.review(docs, _RECORDS, id_col="c_custkey").unionByName(spans.find(docs, _LARGE, id_col="c_custkey"))
     found = joins.outside(found, "large_number", OVER_LARGE, "c_custkey")
     return found.where("rule <> 'large_number' OR matched_text RLIKE '[1-9]'").select("c_custkey", "rule", "start_char", "end_char", "matched_text")
 
@@ -145,13 +147,13 @@ _MARKERS = f"markers AS ({registrations.MARKER_SQL})"
 _STARTED = f"""WITH {audit._J}, d AS (SELECT * FROM j WHERE kind = 'decision_recorded' AND action IN ('accept', 'reject')
   AND EXISTS (SELECT 1 FROM (SELECT review_id AS r, min(seq) AS first FROM j WHERE kind = 'review_started' GROUP BY 1) WHERE r = j.review_id AND first <= j.seq))"""
 ORACLE_SQL = {
-    "record_spans": f"WITH {_SHEETS} {oracle.spans(records.RECORDS, 'sheets', 'c_custkey')}",
+    "record_spans": f"WITH {_SHEETS} {oracle.packs(_RECORDS, 'sheets', 'c_custkey')}",
     "marker_spans": f"WITH {_MARKERS}, f AS ({oracle.spans(_MARKED, 'markers', 'c_custkey')}) SELECT c_custkey, rule, severity, start_char, end_char, matched_text FROM f",
     "marker_amplified": f"""WITH {_MARKERS}, f AS ({oracle.spans([*rules.MNPI, *rules.PROXIMITY], 'markers', 'c_custkey')}),
       t AS (SELECT c_custkey, list({{'s': start_char, 'e': end_char}}) AS near FROM f WHERE rule IN ({', '.join(map(oracle.quoted, rules.TRIGGERS))}) GROUP BY 1),
       x AS (SELECT f.*, severity = 'low' AND len(list_filter(coalesce(near, []), lambda o: o.e >= greatest(start_char - 200, 0) AND o.s <= end_char + 200)) > 0 AS lifted FROM f LEFT JOIN t USING (c_custkey))
       SELECT c_custkey, rule, start_char, CASE WHEN lifted THEN 'medium' ELSE severity END AS severity, CASE WHEN lifted THEN 55 ELSE score END::DOUBLE AS score FROM x WHERE rule IN ({', '.join(map(oracle.quoted, _WEAK))})""",
-    "large_number_outside": f"""WITH {_SHEETS}, f AS ({oracle.spans(_LARGE, 'sheets', 'c_custkey')})
+    "large_number_outside": f"""WITH {_SHEETS}, f AS ({oracle.packs(_RECORDS, 'sheets', 'c_custkey')} UNION ALL {oracle.spans(_LARGE, 'sheets', 'c_custkey')})
       SELECT c_custkey, rule, start_char, end_char, matched_text FROM f WHERE rule <> 'large_number' OR (length(replace(replace(matched_text, ',', ''), '0', '')) > 0 AND NOT EXISTS (
         SELECT 1 FROM f o WHERE o.c_custkey = f.c_custkey AND o.rule IN ({', '.join(map(oracle.quoted, OVER_LARGE))}) AND o.start_char <= f.start_char AND f.end_char <= o.end_char))""",
     "forbidden_matches": f"""WITH {documents._FOUND}, b AS ({oracle.spans(rules.IDENTIFIERS, guarded=False)})

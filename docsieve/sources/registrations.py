@@ -28,7 +28,11 @@ _LINES = [
     "'Emirates ID 784-1987-'", _number(7, 99991), "'-1, UAE passport N'", _number(8, 13331), "', national ID 1'", _number(9, 433494437), "', Iqama 2'", _number(9, 514229), "', commercial registration '", _number(10, 4093082899), "'\n'",
     "'MyKad '", _number(6, 28657), "'-14-'", _number(4, 1597), "', NIK '", _number(16, 27644437), "', Thai ID '", _number(1, 3), "'-'", _number(4, 6089), "'-'", _number(5, 46337), "'-'", _number(2, 71), "'-'", _number(1, 7), "'\n'",
     "'PhilSys '", _number(4, 4243), "'-'", _number(4, 4253), "'-'", _number(4, 4259), "', TIN '", _number(3, 313), "'-'", _number(3, 317), "'-'", _number(3, 331), "', CCCD '", _number(12, 99194853094), "'\n'",
-    "'USCC 91'", _number(15, 2971215073), _letter(13, "0123456789ABCDEFGHJKLMNPQRTUWXY"), "', mobile 13'", _number(9, 198491317), "', passport no. E'", _number(8, 9227465), "'.'",
+    "'USCC 91'", _number(15, 2971215073), _letter(13, "0123456789ABCDEFGHJKLMNPQRTUWXY"), "', mobile 13'", _number(9, 198491317), "', passport no. E'", _number(8, 9227465), "'\n'",
+    "'Land lot MK'", _number(2, 19), "' '", _number(5, 104723), "'X, strata lot of the block: TS12 U'", _number(3, 811), "'K PT; MCST No. '", _number(4, 6007), "', CPST plan number CPST'", _number(5, 50021), "'; URA decision no. P'", _number(6, 700001), "'-03B1-Z000, SLA map.\n'",
+    "'Trade licence no. CN-'", _number(7, 611957), "', DED CONTACT, DMCC pending. SSN 078-05-1120, ref 219-09-9999, then '", _number(3, 877), "'-'", _number(2, 83), "'-'", _number(4, 9967), "'. nino: ab '", _number(2, 89), "' '", _number(2, 79), "' '", _number(2, 73), "' c\n'",
+    "'HKID is '", _letter(5), _letter(11), _number(6, 746777), "'('", _letter(7, "0123456789A"), "'); 個人番号: '", _number(12, 32416190071), "'、郵便番号 '", _number(3, 89), "'-'", _number(4, 5399), "'、주민등록번호: '", _number(6, 900007), "'-'", _number(7, 8675311), "'\n'",
+    "'身份证号码'", _number(17, 2971215073), _letter(7, "0123456789X"), "'，手机：13'", _number(9, 198491317), "'، بطاقة الهوية 784-1990-'", _number(7, 99989), "'-3، إقامة 2'", _number(9, 514229), "', CCCD: '", _number(3, 71), "' '", _number(9, 433494437), "'; permanent account number abcp'", _letter(3, "PCHFXQ"), "'1234'", _letter(5), "'; licensed by MAS (CMS'", _number(6, 611951), "').'",
 ]
 TEXT = f"concat({', '.join(_LINES)})"
 SQL = f"SELECT c_custkey, {TEXT} AS text FROM customer"
