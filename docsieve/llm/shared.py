@@ -39,10 +39,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its rows are fixed, and a lost executor costs no more than a read."""
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: its rows are fixed, and a lost executor costs no more than a read. Python gets batches of at most batch_rows (BATCH_ROWS)."""
     path = new_path(df.sparkSession, name)
-    with _small_batches(df.sparkSession):
+    with _small_batches(df.sparkSession, batch_rows or BATCH_ROWS):
         df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_path = path
@@ -56,11 +56,11 @@ BATCH_ROWS = 1000
 
 
 @contextlib.contextmanager
-def _small_batches(spark: SparkSession):
-    """Batches of at most BATCH_ROWS rows for the job inside."""
+def _small_batches(spark: SparkSession, rows: int):
+    """Batches of at most so many rows for the job inside."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS))
+    spark.conf.set(key, str(min(int(old), rows) if int(old) > 0 else rows))
     try:
         yield
     finally:
