@@ -6,10 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docsieve.functions import vocabulary
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A finding's kind. With cap, the finding is group 1, which ends where the match ends. guard: lines that fit it suppress the finding. check: a name in checks.CHECKS."""
+    """A finding's kind. With cap, the finding is group 1, which ends where the match ends. guard: lines that fit it suppress the finding. check: a name in checks.CHECKS.
+
+    A rule may have phrases in place of a pattern. negated: a negation in the BACK characters before a finding suppresses it.
+    """
 
     name: str
     category: str
@@ -19,12 +24,21 @@ class Rule:
     pack: str = ""
     guard: str = ""
     check: str = ""
+    phrases: tuple[str, ...] = ()
+    negated: bool = False
+
+    @property
+    def expression(self) -> str:
+        """The pattern, or one for the phrases."""
+        return self.pattern or vocabulary.either(list(self.phrases))
 
 
+#: Words that negate what follows at once, and how far back they are looked for; fixed values.
+NEGATIONS, BACK = ["no", "nor", "not", "without", "never", "absent", "excluding", "neither"], 25
+NEGATED_BACK = rf"(?i)\b(?:{'|'.join(NEGATIONS)})\b[\s\w]{{0,15}}$"
 _S = "[ \t]+"
 _SEP = "[ \t:.#-]*"
 _PLACEHOLDER = "(?i)placeholder|sample|dummy|example only"
-_NEGATED = "(?i)not[ \t]+|no[ \t]+(?:new[ \t]+)?material|without[ \t]+any"
 
 #: Direct identifiers, in any text.
 IDENTIFIERS = [
@@ -56,19 +70,13 @@ FIELD_IDENTIFIERS = [
     Rule("mac_address", "PII", "medium", r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}", guard="(?i)not a mac address"),
 ]
 PERSONS = [Rule("named_person", "PII", "low", rf"(?:Mr|Ms|Mrs|Mdm|Dr|Prof)\.?{_S}[A-Z][a-z]+(?:{_S}[A-Z][a-z]+){{0,5}}")]
-PRIVACY_EVENTS = [
-    Rule("cross_border_transfer_marker", "PII", "medium", r"(?i:standard contractual clauses?|adequacy decision|binding corporate rules|transferr?(?:ed|ing|s)? outside (?:Singapore|the EEA|the EU|the UK))", guard=_NEGATED),
-    Rule("consent_withdrawal_marker", "PII", "medium", r"(?i:withdr(?:e|a)w(?:al)? (?:of )?(?:my |her |his |their )?consent|right to erasure|erasure requests?|data subject access requests?)", guard=_NEGATED),
-    Rule("data_minimisation_marker", "PII", "medium", r"(?i:data minimi[sz]ation|purpose limitation|excessive data collection)", guard=_NEGATED),
-    Rule("personal_data_security_safeguards", "PII", "medium", r"(?i:reasonable security safeguards|access controls? for personal data)", guard=_NEGATED),
-    Rule("personal_data_breach_notification", "PII", "medium", r"(?i:personal data breach|breach notification to affected)", guard=_NEGATED),
-]
+_MARKERS = vocabulary.markers(Rule)
+PRIVACY_EVENTS = [r for r in _MARKERS if r.category == "PII"]
+_INSIDE = [r for r in _MARKERS if r.category == "MNPI" and r.severity == "high"]
 MNPI = [
-    Rule("nonpublic_marker", "MNPI", "high", r"(?i:confidential|non-?public|undisclosed|internal use only|before announcement|pre-announcement|quiet period|inside information|price[- ]sensitive information)", guard=_NEGATED),
+    _INSIDE[0],
     Rule("transaction_codename", "MNPI", "high", rf"(?i:Project){_S}[A-Z][A-Za-z]+(?:{_S}[A-Z][A-Za-z]+){{0,2}}", guard="(?i)project code"),
-    Rule("definitive_agreement", "MNPI", "high", r"(?i:definitive agreement|binding agreement|share purchase agreement|term sheet|letter of intent|memorandum of understanding)"),
-    Rule("material_adverse_change", "MNPI", "high", r"(?i:material adverse (?:change|effect)|MA[CE] clause)", guard=_NEGATED),
-    Rule("embargo_marker", "MNPI", "high", r"(?i:under embargo|embargoed|press hold|signing date|completion date|closing date)"),
+    *_INSIDE[1:],
     Rule("contract_unit_price", "MNPI", "medium", r"(?i:unit price|price per (?:share|unit))[ \t]*(?:is|of|:)?[ \t]*(?:SGD|USD)[ \t]*[0-9][0-9,]*(?:\.[0-9]{1,4})?"),
     Rule("contract_discount_rate", "MNPI", "medium", r"(?i:discount|rebate)[ \t]*(?i:rate)?[ \t]*(?:is|of|:)?[ \t]*[0-9]{1,2}(?:\.[0-9]+)?%"),
     Rule("volume_commitment", "MNPI", "medium", r"(?i:volume commitment)[ \t]*(?:is|of|:)?[ \t]*[0-9]{1,3}(?:,[0-9]{3})+[ \t]*(?:units|seats|tonnes)"),
@@ -79,22 +87,7 @@ MNPI = [
     Rule("large_number", "MNPI", "medium", r"[0-9]{1,3}(?:,[0-9]{3}){2,}"),
 ]
 #: Weak alone; a trigger nearby makes them medium.
-PROXIMITY = [
-    Rule("contingent_mnpi_language", "MNPI", "low", r"(?i:subject to (?:board|shareholder|regulatory) approval|pending (?:board|regulatory) approval|(?:likely|expected) to (?:close|sign|announce)|under consideration|in (?:advanced )?discussions)", guard=_NEGATED),
-    Rule("tipping_language", "MNPI", "low", r"(?i:please (?:share|forward|circulate) (?:with|to)|feel free to (?:share|forward)|passing this (?:along|on)|wall[- ]crossed (?:holders|investors))"),
-    Rule("selective_disclosure_risk", "MNPI", "low", r"(?i:analyst (?:day|call|briefing)|sell-?side (?:analyst|mailing)|one-on-one (?:call|meeting) with|largest institutional holders)", pack="US"),
-    Rule("insider_list_marker", "MNPI", "low", r"(?i:insider lists?|restricted lists?|watch lists?|wall[- ]cross(?:ed|ing))", guard=_NEGATED),
-    Rule("information_barrier_marker", "MNPI", "low", r"(?i:information barriers?|ethical (?:walls?|screens?)|chinese walls?)", guard=_NEGATED),
-    Rule("dpt_pre_listing_marker", "MNPI", "low", r"(?i:mainnet launch|token generation event|airdrop schedule|exchange listing decision|delisting decision)", guard=_NEGATED),
-    Rule("dpt_protocol_event_marker", "MNPI", "low", r"(?i:hard fork|chain split|governance proposal|protocol upgrade)", guard=_NEGATED),
-    Rule("esg_climate_pre_disclosure", "MNPI", "low", r"(?i:science[- ]based targets?|transition plan|value[- ]chain emissions|climate[- ]related disclosures?)", guard=_NEGATED),
-    Rule("esg_target_revision", "MNPI", "low", r"(?i:change (?:the )?baseline year|limited assurance|reasonable assurance)", guard=_NEGATED),
-    Rule("cyber_incident_pre_disclosure", "MNPI", "low", r"(?i:materiality determination|material cybersecurity incident|ransomware (?:incident|attack)|lateral movement)", guard=_NEGATED),
-    Rule("pharma_trial_mnpi", "MNPI", "low", r"(?i:top[- ]line (?:data|results)|primary endpoint (?:met|missed|failed)|clinical hold)", guard=_NEGATED),
-    Rule("financial_services_regulatory_mnpi", "MNPI", "low", r"(?i:capital shortfall|stress[- ]test (?:failure|result)|consent order)", guard=_NEGATED),
-    Rule("energy_reserves_mnpi", "MNPI", "low", r"(?i:reserves? (?:downgrade|upgrade|restatement)|drilling result|production guidance (?:cut|revision))", guard=_NEGATED),
-    Rule("legal_proceeding_mnpi", "MNPI", "low", r"(?i:settlement in principle|class[- ]action settlement|freezing order (?:granted|expected))", guard=_NEGATED),
-]
+PROXIMITY = [r for r in _MARKERS if r.category == "MNPI" and r.severity == "low"]
 ALL = [*IDENTIFIERS, *FIELD_IDENTIFIERS, *PERSONS, *PRIVACY_EVENTS, *MNPI, *PROXIMITY]
 #: What each rule of the registry is worth, and the rules that lift PROXIMITY.
 SEVERITY_SCORE = {"low": 25.0, "medium": 55.0, "high": 85.0}
@@ -109,12 +102,12 @@ SEVERITY_OVERRIDES = {
     **{(r, t): "high" for r in ("transaction_codename", "embargo_marker") for t in ("memo", "research_note", "external_memo")},
 }
 #: Keywords of material events, and lines in which they are negated or public.
-EVENT_WORDS = r"(?i:acquisition|acquire|merger|takeover|buyout|earnings|guidance|dividend|buyback|restructuring|impairment|resignation|closing)"
+EVENT_WORDS = vocabulary.either(vocabulary.events())
 EVENT_NEGATED = "(?i)not price[- ]sensitive|no event has occurred|policy guidance|operational guidance"
 EVENT_PUBLIC = "(?i)publicly (?:announced|available)|press release|previously announced|is public"
 
 
 def registry(spark: SparkSession) -> DataFrame:
     """The rules as a table; it has a row for each rule of the code, so it may be broadcast."""
-    rows = [(k, r.name, r.category, r.severity, SEVERITY_SCORE[r.severity], r.pack, r.pattern) for k, r in enumerate(ALL)]
+    rows = [(k, r.name, r.category, r.severity, SEVERITY_SCORE[r.severity], r.pack, r.expression) for k, r in enumerate(ALL)]
     return spark.createDataFrame(rows, "rule_ord int, rule string, category string, severity string, score double, pack string, pattern string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions import checks
+from docsieve.functions import checks, vocabulary
 from docsieve.functions.rules import SEVERITY_SCORE
 from docsieve.operators import keywords, spans
 from docsieve.sources.rule_packs import Field, Packs, Secret
@@ -20,7 +20,7 @@ AFTER, BEFORE = 200, 200
 
 def _lexicon(groups: list[tuple[str, ...]]) -> tuple[list[str], list[int]]:
     """All phrases, and the group of each."""
-    pairs = [(phrase, k) for k, own in enumerate(groups) for phrase in dict.fromkeys(map(keywords.normal, own))]
+    pairs = [(phrase, k) for k, own in enumerate(groups) for phrase in dict.fromkeys(map(vocabulary.normal, own))]
     return [p for p, _ in pairs], [k for _, k in pairs]
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions import licences, national
+from docsieve.functions import licences, national, vocabulary
 from docsieve.operators import keywords, spans
 
 #: Characters behind a name that its value may take.
@@ -28,8 +28,8 @@ def national_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields = national.fields()
     lexicon, first = [], set()
     for k, (name, country, checked) in enumerate(fields):
-        if keywords.normal(name) not in first:
-            first.add(keywords.normal(name))
+        if vocabulary.normal(name) not in first:
+            first.add(vocabulary.normal(name))
             lexicon.append((k, country, checked))
     spark = docs.sparkSession
     names = F.broadcast(spark.createDataFrame(lexicon, "phrase int, member_state string, checked boolean"))

@@ -15,22 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+from docsieve.functions.vocabulary import LOWER, edge, normal
+
 _RUN = re.compile(r"\s+")
 _WORD = re.compile(r"\w")
 #: Most characters of a lexicon; what is larger has to be joined, not sent to every task.
 MOST_CHARS = 1 << 25
 
 
-def _edge(char: str) -> bool:
-    """Whether a phrase's first or last character asks for the end of a word: Latin letters and digits do, scripts that write words together don't."""
-    return char.isascii() and bool(_WORD.match(char))
-
-
-def normal(phrase: str) -> str:
-    return _RUN.sub(" ", phrase.strip()).translate(_LOWER)
-
-
 def automaton(phrases: list[str], groups: list[int] | None = None) -> ahocorasick.Automaton:
     """Phrases by their normal form; of equal ones in one group the first counts."""
     own: dict[str, dict[int, int]] = {}
@@ -40,7 +32,7 @@ def automaton(phrases: list[str], groups: list[int] | None = None) -> ahocorasic
             own.setdefault(word, {}).setdefault(groups[k] if groups else 0, k)
     out = ahocorasick.Automaton()
     for word, by_group in own.items():
-        out.add_word(word, (len(word), _edge(word[0]), _edge(word[-1]), list(by_group.items())))
+        out.add_word(word, (len(word), edge(word[0]), edge(word[-1]), list(by_group.items())))
     out.make_automaton()
     return out
 
@@ -56,7 +48,7 @@ def search(found_by: ahocorasick.Automaton, text: str) -> list[tuple[int, int, i
         if at - m.start() > 1:
             places.append(size)
             lost.append(lost[-1] + at - m.start() - 1)
-    flat = "".join([*flat, text[at:]]).translate(_LOWER)
+    flat = "".join([*flat, text[at:]]).translate(LOWER)
     candidates = []
     for last, (length, opens, closes, numbers) in found_by.iter(flat):
         start, end = last + 1 - length, last + 1
@@ -95,14 +87,3 @@ def hits(docs: DataFrame, phrases: list[str], before: int = 0, after: int = 0, i
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, phrase int, start_char int, end_char int, left string, found string, right string")
     return found.withColumnRenamed("id", id_col)
-
-
-def pattern(phrases: list[str]) -> str:
-    """One expression for a lexicon, of engines that take the first alternative that fits: longer phrases come first."""
-
-    def one(phrase: str) -> str:
-        word = normal(phrase)
-        body = r"\s+".join(map(re.escape, word.split(" ")))
-        return (r"\b" if _edge(word[0]) else "") + body + (r"\b" if _edge(word[-1]) else "")
-
-    return "(?i:" + "|".join(one(p) for p in sorted({normal(p) for p in phrases if normal(p)}, key=lambda x: (-len(x), x))) + ")"

@@ -16,7 +16,7 @@ def material_events(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     """(key, line_no, n_hit, severity, public): a row for each keyword hit, whose span is the whole line; negated lines and plainly public ones give none."""
     lines = docs.select(key, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
     hits = F.size(F.regexp_extract_all("line", F.lit(rules.EVENT_WORDS), F.lit(0)))
-    hidden = F.col("line").rlike(next(r.pattern for r in rules.MNPI if r.name == "nonpublic_marker"))
+    hidden = F.col("line").rlike(next(r.expression for r in rules.MNPI if r.name == "nonpublic_marker"))
     public = F.col("line").rlike(rules.EVENT_PUBLIC)
     rows = lines.withColumn("hits", hits).where((F.col("hits") > 0) & ~F.col("line").rlike(rules.EVENT_NEGATED))
     severity = F.when(hidden, "high").when(public, "low").otherwise("medium")

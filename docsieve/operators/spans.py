@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from docsieve.functions import anchors
 from docsieve.functions import text as T
 from docsieve.functions.checks import CHECKS
-from docsieve.functions.rules import SEVERITY_SCORE, Rule
+from docsieve.functions.rules import BACK, NEGATED_BACK, SEVERITY_SCORE, Rule
+from docsieve.operators import keywords
 
 _ROW = "struct<start_char:int,end_char:int,matched_text:string>"
 
@@ -62,8 +63,30 @@ def matches(text: str, pattern: str, cap: bool = False, lower: str | None = None
     return F.expr(f"CASE WHEN {likely} THEN {ends} ELSE cast(array() AS array<{_ROW}>) END")
 
 
+def _named(found: DataFrame, id_col: str, rules: list[Rule], row: str) -> DataFrame:
+    """Findings (id, ord, ...) with what their rule says, in the order of find()'s columns; row is the struct or prefix of the span's columns."""
+    of_rule = lambda values: F.get(F.expr(f"array({', '.join(values)})"), F.col("ord"))
+    return found.select(
+        id_col, of_rule(quoted(r.name) for r in rules).alias("rule"), of_rule(quoted(r.category) for r in rules).alias("category"),
+        of_rule(quoted(r.severity) for r in rules).alias("severity"), of_rule(f"{SEVERITY_SCORE[r.severity]}D" for r in rules).alias("score"), row,
+    )
+
+
+def _of_phrases(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str, guarded: bool) -> DataFrame:
+    """Findings of rules with phrases, by one automaton for all of them."""
+    pairs = [(p, k) for k, r in enumerate(rules) for p in r.phrases]
+    hits = keywords.hits(docs, [p for p, _ in pairs], BACK, 0, id_col, text_col, [k for _, k in pairs])
+    ord_of = F.broadcast(docs.sparkSession.createDataFrame([(n, k, rules[k].negated and guarded) for n, (_, k) in enumerate(pairs)], "phrase int, ord int, negated boolean"))
+    kept = hits.join(ord_of, "phrase").where(~(F.col("negated") & F.col("left").rlike(NEGATED_BACK)))
+    return _named(kept.withColumn("x", F.struct("start_char", "end_char", F.col("found").alias("matched_text"))), id_col, rules, "x.*")
+
+
 def find(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", guarded: bool = True) -> DataFrame:
-    """(id, rule, category, severity, score, start_char, end_char, matched_text) of every finding that passes its rule's check and guard."""
+    """(id, rule, category, severity, score, start_char, end_char, matched_text) of every finding that passes its rule's check, guard and negation."""
+    by_phrase, rules = [r for r in rules if r.phrases], [r for r in rules if not r.phrases]
+    if by_phrase:
+        found = _of_phrases(docs, by_phrase, id_col, text_col, guarded)
+        return found.unionByName(find(docs, rules, id_col, text_col, guarded)) if rules else found
     text = F.col("__text")
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__lower", F.lower("__text"))
 
@@ -73,17 +96,15 @@ def find(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: s
 
         def passes(x: Column) -> Column:
             ok = CHECKS[rule.check](x["matched_text"]) if rule.check else F.lit(True)
+            if rule.negated and guarded:
+                ok = ok & ~T.back(text, x["start_char"], BACK).rlike(NEGATED_BACK)
             return ok & ~T.line_of(text, x["start_char"], x["end_char"]).rlike(rule.guard) if rule.guard and guarded else ok
 
         found = matches("`__text`", rule.pattern, rule.cap, "`__lower`")
-        return F.transform(F.filter(found, passes) if rule.check or (rule.guard and guarded) else found, one)
+        return F.transform(F.filter(found, passes) if rule.check or (guarded and (rule.guard or rule.negated)) else found, one)
 
-    found = rows.select(F.col(id_col), F.explode(F.concat(*(named(r) for r in rules))).alias("f"))
-    of_rule = lambda values: F.get(F.expr(f"array({', '.join(values)})"), F.col("f.ord"))
-    return found.select(
-        id_col, of_rule(quoted(r.name) for r in rules).alias("rule"), of_rule(quoted(r.category) for r in rules).alias("category"),
-        of_rule(quoted(r.severity) for r in rules).alias("severity"), of_rule(f"{SEVERITY_SCORE[r.severity]}D" for r in rules).alias("score"), "f.x.*",
-    )
+    found = rows.select(F.col(id_col), F.explode(F.concat(*(named(r) for r in rules))).alias("f")).select(id_col, "f.ord", "f.x")
+    return _named(found, id_col, rules, "x.*")
 
 
 def find_python(docs: DataFrame, rules: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.functions import licences, national
-from docsieve.operators import identities, keywords
+from docsieve.functions import licences, national, vocabulary
+from docsieve.operators import identities
 from docsieve.plans import oracle
 from docsieve.sources import identities as sheets
 
@@ -76,9 +76,9 @@ CHECKS = {
 def _national() -> str:
     rows, first = [], set()
     for name, country, checked in national.fields():
-        if keywords.normal(name) not in first:
-            first.add(keywords.normal(name))
-            rows.append(f"({_q(keywords.normal(name))}, '{country}', {checked})")
+        if vocabulary.normal(name) not in first:
+            first.add(vocabulary.normal(name))
+            rows.append(f"({_q(vocabulary.normal(name))}, '{country}', {checked})")
     parts = " UNION ALL ".join(
         f"""SELECT doc_id, member_state, checked, e + length(regexp_extract(tail, {_q(f'{national.SIGN}(?:{c.shape})')})) AS stop, regexp_extract(tail, {_q(rf'{national.SIGN}({c.shape})' + chr(92) + 'b')}, 1) AS m, '{c.check}' AS name
         FROM f WHERE member_state = '{c.code}'"""

@@ -95,7 +95,7 @@ def carrier_checksum_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEMOS = f"memos AS ({carrier.SQL})"
 _OF = lambda rs, guarded=True: oracle.spans(rs, "memos", guarded=guarded)
 _names = lambda rs: ", ".join(oracle.quoted(x) for x in rs)
-_HIDDEN = next(r.pattern for r in rules.MNPI if r.name == "nonpublic_marker")
+_HIDDEN = next(r.expression for r in rules.MNPI if r.name == "nonpublic_marker")
 _OVERRIDES = ", ".join(f"('{r}', '{t}', '{s}')" for (r, t), s in rules.SEVERITY_OVERRIDES.items())
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from docsieve.functions import checks
+from docsieve.functions import checks, rules as R, vocabulary
 from docsieve.functions.rules import SEVERITY_SCORE, Rule
-from docsieve.operators import keywords
 from docsieve.sources.rule_packs import Field, Packs, Secret
 
 
@@ -52,10 +51,12 @@ def spans(rules: list[Rule], source: str = "documents", key: str = "doc_id", tex
     parts = []
     for r in rules:
         g = 1 if r.cap else 0
-        p = quoted(r.pattern)
+        p = quoted(r.expression)
         tests = [CHECKS[r.check]] if r.check else []
         if r.guard and guarded:
             tests.append(f"NOT regexp_matches({LINE}, {quoted(r.guard)})")
+        if r.negated and guarded:
+            tests.append(f"NOT regexp_matches(substr(t, greatest(s - {R.BACK}, 0) + 1, s - greatest(s - {R.BACK}, 0)), {quoted(R.NEGATED_BACK)})")
         where = " WHERE " + " AND ".join(f"({x})" for x in tests) if tests else ""
         parts.append(f"""SELECT k AS {key}, '{r.name}' AS rule, '{r.category}' AS category, '{r.severity}' AS severity, {SEVERITY_SCORE[r.severity]}::DOUBLE AS score,
         s::INT AS start_char, e::INT AS end_char, m AS matched_text FROM (
@@ -70,7 +71,7 @@ def spans(rules: list[Rule], source: str = "documents", key: str = "doc_id", tex
 
 def hits(source: str, phrases: list[str], key: str = "doc_id") -> str:
     """Rows (key, text, phrase, s, e) of the phrases of a lexicon in a source."""
-    p = quoted(keywords.pattern(phrases))
+    p = quoted(vocabulary.either(phrases))
     before = "coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)"
     return f"""SELECT {key}, text, ms[i] AS phrase, ({before})::BIGINT AS s, s + length(ms[i]) AS e
         FROM (SELECT {key}, text, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT {key}, text, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS ps FROM {source}))"""

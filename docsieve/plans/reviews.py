@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import rules
 from docsieve.operators import fields, joins, reident, spans, structure
 from docsieve.plans import audit, documents, memos, oracle, quality
-from docsieve.sources import carrier, registrations, rule_packs, tables
+from docsieve.sources import carrier, registrations, rule_packs, sentences, tables
 
 #: Rules that a large number inside them gives way to.
 OVER_LARGE = ["financial_amount", "financial_percentage", "crypto_wallet_address", "eu_company_id", "uk_company_number", "payment_card", "phone_number"]
@@ -39,6 +39,16 @@ def marker_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.find(registrations.markers(spark, sf_dir), _MARKED, id_col="c_custkey").select("c_custkey", "rule", "severity", "start_char", "end_char", "matched_text")
 
 
+def planted_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was planted against what is found, by rule: plain sentences, and sentences behind a negation; the truth is the generator's."""
+    docs = sentences.sentences(spark, sf_dir)
+    names = F.element_at(F.array(*(F.lit(r.name) for r in sentences.PLANTED)), F.col("k") + 1)
+    found = spans.find(docs, sentences.PLANTED).select("doc_id", "rule").distinct().withColumn("found", F.lit(True))
+    rows = docs.withColumn("rule", names).join(found, ["doc_id", "rule"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return rows.groupBy("rule").agg(
+        F.count_if(~F.col("negated")).alias("n_plain"), F.count_if(~F.col("negated") & F.col("found")).alias("n_plain_found"), F.count_if(F.col("negated")).alias("n_negated"), F.count_if(F.col("negated") & F.col("found")).alias("n_negated_found"))
+
+
 def marker_amplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak markers by severity, lifted where a trigger stands within 200 characters."""
     found = spans.find(registrations.markers(spark, sf_dir), [*rules.MNPI, *rules.PROXIMITY], id_col="c_custkey")
@@ -140,7 +150,7 @@ def audit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (record_spans, marker_spans, marker_amplified, large_number_outside, forbidden_matches, slice_scores, corpus_status, operation_counts, singling_out_units, findings_in_order, delivery_status, preference_export, promotion_queue, audit_pack)
+    for f in (record_spans, marker_spans, planted_markers, marker_amplified, large_number_outside, forbidden_matches, slice_scores, corpus_status, operation_counts, singling_out_units, findings_in_order, delivery_status, preference_export, promotion_queue, audit_pack)
 }
 _SHEETS = f"sheets AS ({registrations.RECORD_SQL})"
 _MARKERS = f"markers AS ({registrations.MARKER_SQL})"
@@ -149,6 +159,10 @@ _STARTED = f"""WITH {audit._J}, d AS (SELECT * FROM j WHERE kind = 'decision_rec
 ORACLE_SQL = {
     "record_spans": f"WITH {_SHEETS} {oracle.packs(_RECORDS, 'sheets', 'c_custkey')}",
     "marker_spans": f"WITH {_MARKERS}, f AS ({oracle.spans(_MARKED, 'markers', 'c_custkey')}) SELECT c_custkey, rule, severity, start_char, end_char, matched_text FROM f",
+    "planted_markers": f"""WITH sentences AS ({sentences.SQL}), f AS (SELECT DISTINCT doc_id, rule FROM ({oracle.spans(sentences.PLANTED, 'sentences')}))
+      SELECT [{', '.join(f"'{r.name}'" for r in sentences.PLANTED)}][k + 1] AS rule, count(*) FILTER (NOT negated) AS n_plain, count(*) FILTER (NOT negated AND f.rule IS NOT NULL) AS n_plain_found,
+        count(*) FILTER (negated) AS n_negated, count(*) FILTER (negated AND f.rule IS NOT NULL) AS n_negated_found
+      FROM sentences s LEFT JOIN f ON f.doc_id = s.doc_id AND f.rule = [{', '.join(f"'{r.name}'" for r in sentences.PLANTED)}][k + 1] GROUP BY 1""",
     "marker_amplified": f"""WITH {_MARKERS}, f AS ({oracle.spans([*rules.MNPI, *rules.PROXIMITY], 'markers', 'c_custkey')}),
       t AS (SELECT c_custkey, list({{'s': start_char, 'e': end_char}}) AS near FROM f WHERE rule IN ({', '.join(map(oracle.quoted, rules.TRIGGERS))}) GROUP BY 1),
       x AS (SELECT f.*, severity = 'low' AND len(list_filter(coalesce(near, []), lambda o: o.e >= greatest(start_char - 200, 0) AND o.s <= end_char + 200)) > 0 AS lifted FROM f LEFT JOIN t USING (c_custkey))

@@ -2,6 +2,7 @@
 
 A pack is a JSON object: code, label, aliases, and lists of entries. An entry of `fields` has rule, severity, labels (what the field is called) and shape (of its value); of
 `patterns` rule, severity and pattern; of `secrets` rule, severity, keywords, pattern and optionally entropy (least bits a character) and allow (expressions of values that are none).
+A name may be a template (functions.vocabulary).
 Packs of later folders replace those of earlier ones with the same code. An entry that lacks something, or whose expression or check isn't known, is left out and reported; a file that
 isn't a pack is reported too, and nothing else fails.
 """
@@ -15,7 +16,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from docsieve.functions import checks, rules
+from docsieve.functions import checks, rules, vocabulary
 
 #: The packs that come with the library.
 OWN = Path(__file__).resolve().parent.parent / "packs"
@@ -86,7 +87,11 @@ def _wrong(kind: str, entry: object) -> str:
     if entry.get("check", "") not in {"", *checks.CHECKS}:
         return f"check {entry['check']}"
     texts = entry.get("labels") or entry.get("keywords") or ["x"]
-    if not isinstance(texts, list) or not all(isinstance(x, str) and x.strip() for x in texts):
+    try:
+        texts = vocabulary.written_out(texts)
+    except (TypeError, KeyError, AttributeError):
+        return "names that aren't texts"
+    if not all(isinstance(x, str) and x.strip() for x in texts):
         return "names that aren't texts"
     for name in ("shape", "pattern", "sign", "end", "unless"):
         try:
@@ -117,11 +122,11 @@ def parse(sources: list[tuple[str, str]]) -> Packs:
                     out.problems.append((name, str(entry.get("rule", "")) if isinstance(entry, dict) else "", reason))
                 elif kind == "fields":
                     rest = {k: entry[k] for k in ("sign", "end", "check", "unless", "whole", "nocase") if k in entry}
-                    out.fields.append(Field(entry["rule"], entry["severity"], code, tuple(entry["labels"]), entry["shape"], **rest))
+                    out.fields.append(Field(entry["rule"], entry["severity"], code, tuple(vocabulary.written_out(entry["labels"])), entry["shape"], **rest))
                 elif kind == "patterns":
                     out.patterns.append(rules.Rule(entry["rule"], "PII", entry["severity"], entry["pattern"], pack=code, check=entry.get("check", "")))
                 else:
-                    out.secrets.append(Secret(entry["rule"], entry["severity"], code, tuple(entry["keywords"]), entry["pattern"], float(entry.get("entropy", 0)), tuple(entry.get("allow", []))))
+                    out.secrets.append(Secret(entry["rule"], entry["severity"], code, tuple(vocabulary.written_out(entry["keywords"])), entry["pattern"], float(entry.get("entropy", 0)), tuple(entry.get("allow", []))))
     return out
 
 

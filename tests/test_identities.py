@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docsieve.functions import licences, national
+from docsieve.functions import licences, national, vocabulary
 from docsieve.operators import identities, keywords
 from docsieve.plans import identities as plans
 from docsieve.sources import identities as sheets
@@ -22,9 +22,9 @@ def test_lexicon_equals_one_expression(spark):
     texts = ["".join(rng.choice(pieces) + rng.choice([" ", "  ", "\n", "", "\t \n"]) for _ in range(rng.randrange(30))) for _ in range(500)]
     found = keywords.automaton(phrases)
     for text in texts:
-        flat = [(m.start(), m.end()) for m in re.finditer(keywords.pattern(phrases), text)]
+        flat = [(m.start(), m.end()) for m in re.finditer(vocabulary.either(phrases), text)]
         assert [(s, e) for _, s, e in keywords.search(found, text)] == flat, text
-        assert all(keywords.normal(text[s:e]) == keywords.normal(phrases[k]) for k, s, e in keywords.search(found, text))
+        assert all(vocabulary.normal(text[s:e]) == vocabulary.normal(phrases[k]) for k, s, e in keywords.search(found, text))
 
 
 def test_hits(spark):
