@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions import rules
-from docsieve.operators import journal, spans
+from docsieve.operators import journal, keychain, spans
 from docsieve.plans import oracle
 from docsieve.sources import tables
 
 #: Events that a test of the chain alters or loses, and the retention limit.
 _ALTERED, _LOST, _KEEP_DAYS, _NOW = 97, 89, 14, "2024-01-31"
 _LIMIT, _WINDOW_S = 3, 86400
+#: Keys of the test of the keyed chain, and the day from which the second one signs.
+_KEYS, _ROTATED = {"v1": b"a key of a test", "v2": b"another key of that test, which is longer than a block of sixty-four bytes"}, "2024-01-16"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +38,27 @@ def journal_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.chain_check(rows.where(mark % _LOST != 0).withColumn("action", F.when(mark % _ALTERED == 0, "forged").otherwise(F.col("action"))))
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal as entries of a keyed chain."""
+    payload = F.concat(F.lit('{"action":"'), F.coalesce("action", F.lit("")), F.lit('","finding_id":"'), F.coalesce("finding_id", F.lit("")), F.lit('"}'))
+    version = F.when(F.col("ts") < F.lit(_ROTATED).cast("timestamp"), "v1").otherwise("v2")
+    return _journal(spark, sf_dir).select("seq", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.coalesce("kind", F.lit("")).alias("event_type"), "review_id", payload.alias("payload"), version.alias("key_version"))
+
+
+def keyed_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of a keyed journal with a rotated key, of which some entries are altered, some lost, and some name a key that isn't there."""
+    rows = keychain.signed(_entries(spark, sf_dir), _KEYS)
+    mark = F.col("review_id") + F.col("seq")
+    forged = rows.where(mark % _LOST != 0).withColumns({"payload": F.when(mark % _ALTERED == 0, F.lit("{}")).otherwise(F.col("payload")), "key_version": F.when(mark % 83 == 0, "v0").otherwise(F.col("key_version"))})
+    return keychain.verified(forged, _KEYS)
+
+
+def keyed_chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last HMAC of each review, which seals it: an audit keeps one row a review."""
+    rows = keychain.signed(_entries(spark, sf_dir), _KEYS)
+    return rows.groupBy("review_id").agg(F.max("seq").alias("last_seq"), F.max_by("hmac", "seq").alias("seal"))
+
+
 def fp_queue_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.false_positives(_journal(spark, sf_dir))
 
@@ -116,9 +141,22 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("event_type", bucket.alias("le")).agg(F.count("*").alias("n"))
 
 
+
+def _hmac(digest: str) -> str:
+    """HMAC of an entry of the SQL, by its key's version."""
+    text = f"encode(seq::VARCHAR || '|' || ts || '|' || event_type || '|' || review_id::VARCHAR || '|' || payload || '|' || {digest})"
+
+    def one(key: bytes) -> str:
+        block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+        inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
+        return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {text})))"
+
+    return f"CASE key_version {' '.join(f'WHEN {oracle.quoted(v)} THEN {one(k)}' for v, k in _KEYS.items())} END"
+
+
 QUERIES = {
     f.__name__: f
-    for f in (journal_replay_latest, journal_chain_check, fp_queue_asof, fn_queue_antijoin, action_rates_pivot, findings_after_decisions, min_wait_gate, subject_index_dedup, subject_erasure, retention_filter, idempotent_first, siem_sanitize, telemetry_outcome, rate_limit_log, event_hourly_metrics, value_report_rollup, latency_percentiles, latency_histogram)
+    for f in (journal_replay_latest, journal_chain_check, keyed_chain_check, keyed_chain_heads, fp_queue_asof, fn_queue_antijoin, action_rates_pivot, findings_after_decisions, min_wait_gate, subject_index_dedup, subject_erasure, retention_filter, idempotent_first, siem_sanitize, telemetry_outcome, rate_limit_log, event_hourly_metrics, value_report_rollup, latency_percentiles, latency_histogram)
 }
 _KIND = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in journal.KINDS.items()) + " END"
 _J = f"""j AS (
@@ -128,8 +166,20 @@ _J = f"""j AS (
 _DIGEST = "sha256(concat_ws('|', review_id, seq, kind, finding_id, action))"
 _LATEST = "l AS (SELECT review_id, finding_id, max_by(action, seq) AS action, count(*) AS n FROM j WHERE kind = 'decision_recorded' GROUP BY ALL)"
 _INDEX = f"i AS (SELECT DISTINCT sha256(rule || ':' || lower(trim(matched_text))) AS subject_key, rule, doc_id FROM ({oracle.spans(rules.IDENTIFIERS)}))"
+_CHAIN = f"""{_J},
+      n AS (SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, coalesce(kind, '') AS event_type, review_id, '{{"action":"' || coalesce(action, '') || '","finding_id":"' || coalesce(finding_id, '') || '"}}' AS payload,
+        CASE WHEN ts < TIMESTAMP '{_ROTATED}' THEN 'v1' ELSE 'v2' END AS key_version FROM j),
+      c AS (SELECT *, 'GENESIS' AS prev_hash, {_hmac("'GENESIS'")} AS hmac FROM n WHERE seq = 0
+            UNION ALL SELECT n.*, c.hmac, {_hmac('c.hmac').replace('seq::VARCHAR', 'n.seq::VARCHAR').replace(' ts ', ' n.ts ').replace(' event_type ', ' n.event_type ').replace(' review_id::', ' n.review_id::').replace(' payload ', ' n.payload ').replace('CASE key_version', 'CASE n.key_version')} FROM n JOIN c ON n.review_id = c.review_id AND n.seq = c.seq + 1)"""
 ORACLE_SQL = {
     "journal_replay_latest": f"WITH {_J}, {_LATEST} SELECT * FROM l",
+    "keyed_chain_check": f"""WITH RECURSIVE {_CHAIN}, x AS (
+        SELECT * REPLACE (CASE WHEN (review_id + seq) % {_ALTERED} = 0 THEN '{{}}' ELSE payload END AS payload, CASE WHEN (review_id + seq) % 83 = 0 THEN 'v0' ELSE key_version END AS key_version)
+        FROM c WHERE (review_id + seq) % {_LOST} <> 0),
+      y AS (SELECT *, seq <> coalesce(lag(seq) OVER w + 1, 0) AS a, prev_hash <> coalesce(lag(hmac) OVER w, 'GENESIS') AS b, key_version = 'v0' AS k, key_version <> 'v0' AND hmac <> {_hmac('prev_hash')} AS h FROM x WINDOW w AS (PARTITION BY review_id ORDER BY seq))
+      SELECT review_id, count(*) AS n, count(*) FILTER (a) AS n_seq_faults, count(*) FILTER (b) AS n_prev_faults, count(*) FILTER (k) AS n_key_faults, count(*) FILTER (h) AS n_hmac_faults,
+        count(*) FILTER (a OR b OR k OR h) = 0 AS whole FROM y GROUP BY review_id""",
+    "keyed_chain_heads": f"WITH RECURSIVE {_CHAIN} SELECT review_id, max(seq) AS last_seq, arg_max(hmac, seq) AS seal FROM c GROUP BY review_id",
     "journal_chain_check": f"""WITH {_J}, c AS (SELECT *, lag({_DIGEST}, 1, 'GENESIS') OVER (PARTITION BY review_id ORDER BY seq) AS prev_digest FROM j),
       t AS (SELECT * REPLACE (CASE WHEN (review_id + seq) % {_ALTERED} = 0 THEN 'forged' ELSE action END AS action) FROM c WHERE (review_id + seq) % {_LOST} <> 0),
       s AS (SELECT review_id, seq <> row_number() OVER w - 1 AS gap, prev_digest <> lag({_DIGEST}, 1, 'GENESIS') OVER w AS broken FROM t WINDOW w AS (PARTITION BY review_id ORDER BY seq))
