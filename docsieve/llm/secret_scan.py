@@ -117,8 +117,8 @@ def _is_secret(value: Column, alphabet: str, holds: list[str], bits: float, allo
     return F.when(fit, least_window_sum(value, alphabet) <= sum_limit(bits)).otherwise(False)
 
 
-def scan(docs: DataFrame, text_col: str = "text", allow: list[str] = ALLOW) -> DataFrame:
-    """docs with `spans`: array of (start, end, ord, kind, value), code points, end exclusive, by start, then order of kinds."""
+def scan(docs: DataFrame, text_col: str = "text", allow: list[str] = ALLOW, name: str = "spans") -> DataFrame:
+    """docs with a column `name`: array of (start, end, ord, kind, value), code points, end exclusive, by start, then order of kinds."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,end:int,ord:int,kind:string,value:string,size:int>>)")
     likely = text.rlike("|".join([BASE[0][1], BASE[1][1], _LONG_HEX, r"[A-Za-z0-9+/_=-]{20}"]))
@@ -136,15 +136,15 @@ def scan(docs: DataFrame, text_col: str = "text", allow: list[str] = ALLOW) -> D
     others = F.concat("__base", "__more")
     added = F.filter("__more", lambda x: ~F.exists(others, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (y["ord"] < x["ord"])))
     ordered = F.array_sort(F.transform(F.concat("__base", added), lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"))))
-    return rows.withColumn("spans", ordered).drop("__base", "__more")
+    return rows.withColumn(name, ordered).drop("__base", "__more")
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """docs with every span of scan() replaced by a mark; texts without spans, null ones too, stay as they are."""
-    rows = scan(docs, text_col)
+    rows = scan(docs, text_col, name="__spans")
     text = F.col(text_col)
     pieces = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
         lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
             F.struct(
@@ -154,7 +154,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]")
         ),
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))),
     )
-    return rows.withColumn(text_col, F.when(F.size("spans") > 0, pieces).otherwise(text)).drop("spans")
+    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, pieces).otherwise(text)).drop("__spans")
 
 
 def op9(docs: DataFrame) -> DataFrame:

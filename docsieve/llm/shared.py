@@ -125,9 +125,9 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Numbers are in order of the ids, then of digests of the texts; texts without an id come last. Of rows equal in id and text, the least in the other columns stays.
     """
-    digests = {"h1": F.xxhash64(F.col("text").cast("string")), "h2": F.xxhash64(F.lit(1), F.col("text").cast("string"))}
-    rows = docs.withColumns(digests)
-    keys = written(rows.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")), "keys")
+    digests = {"__h1": F.xxhash64(F.col("text").cast("string")), "__h2": F.xxhash64(F.lit(1), F.col("text").cast("string"))}
+    rows = docs.withColumns(digests)  # names of their own, as docs may have an h1
+    keys = written(rows.groupBy("doc_id", F.col("__h1").alias("h1"), F.col("__h2").alias("h2")).agg(F.count("*").alias("n")), "keys")
     if keys.where("doc_id IS NULL OR n > 1").isEmpty() and keys.groupBy("doc_id").count().where("count > 1").isEmpty():
         # The ids tell the rows apart as they are.
         return docs.withColumn("doc_id", F.col("doc_id").cast("long")), keys.select(F.col("doc_id").cast("long").alias("number"), F.col("doc_id").alias("own_id"), "h1")
@@ -135,8 +135,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not keys.where("n > 1").isEmpty():
         others = [c for c in docs.columns if c not in ("doc_id", "text")]
         least = F.min(F.struct(*others, "text")).alias("x")
-        rows = rows.groupBy("doc_id", "h1", "h2").agg(least).select("doc_id", "h1", "h2", *(f"x.{c}" for c in (*others, "text")))
-    same = [F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("r.h1") == F.col("k.h1"), F.col("r.h2") == F.col("k.h2")]
+        rows = rows.groupBy("doc_id", "__h1", "__h2").agg(least).select("doc_id", "__h1", "__h2", *(f"x.{c}" for c in (*others, "text")))
+    same = [F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("r.__h1") == F.col("k.h1"), F.col("r.__h2") == F.col("k.h2")]
     named = rows.alias("r").join(small(keys).alias("k"), same)
     table = named.select(*(F.col("k.number").alias(c) if c == "doc_id" else F.col(f"r.{c}") for c in docs.columns))
     return written(table, "numbered"), keys.select("number", F.col("doc_id").alias("own_id"), "h1")

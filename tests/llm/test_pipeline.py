@@ -1,5 +1,7 @@
 """The pipeline's stages that choose among documents against brute force, and the whole of it on rows without ids and with repeated ones."""
 
+import pytest
+
 import corpus_pipeline
 from tests.llm.conftest import prose
 from tests.llm.test_document_operators import _components
@@ -57,3 +59,27 @@ def test_run(spark, tmp_path):
     near = len({first for *_, first in _components([(k, t) for k, (_, t) in enumerate(_once(_rows()))])})
     assert len(out) == near  # a piece a document
     assert sum(r["doc_id"] is None for r in out) == 3 and sum(r["doc_id"] == 9 for r in out) == 2
+
+
+CLASHING = ["h1", "h2", "number", "own_id", "spans", "n", "component_id", "text_hash", "id", "hash", "piece"]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_stages_keep_columns_whose_names_are_their_own(spark, repeated):
+    """Every stage but the last gives back the columns of its documents, with their values, whatever they are called; ids as they are and repeated ones."""
+    rows = [(i if repeated or i is not None else 100 + k, t, "en", "s", len(t)) for k, (i, t, *_) in enumerate(_rows()) if repeated or (i, t) not in [(x[0], x[1]) for x in _rows()[:k]]]
+    if not repeated:
+        rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    docs = spark.createDataFrame([(*r, *(f"{c}{r[1][:9]}" for c in CLASHING)) for r in rows], SCHEMA + "".join(f", {c} string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert r["text"] and all(r[c].startswith(c) and len(r[c]) > len(c) for c in CLASHING), name
+        assert stage(spark, docs.where("false"), "").collect() == [], name
+
+
+def test_secrets_of_a_long_text(spark):
+    text = "plain words " * 20000 + "token=abcdefgh12345 end"
+    out = corpus_pipeline.secrets(spark, spark.createDataFrame([(1, text, "en", "s", 1)], SCHEMA), "").first()
+    assert out["text"] == "plain words " * 20000 + "[REDACTED] end" and out["n_chars"] == len(out["text"])
