@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _renamed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs with their own ids again."""
-    found = docs.join(shared.small(ids), docs["doc_id"] == ids["number"])
-    return found.select(*(F.col("own_id").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns))
+    found = docs.alias("d").join(shared.small(ids).alias("i"), F.col("d.doc_id") == F.col("i.number"))
+    return found.select(*(F.col("i.own_id").alias(c) if c == "doc_id" else F.col(f"d.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
