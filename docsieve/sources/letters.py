@@ -30,3 +30,19 @@ SQL = f"SELECT c_custkey AS doc_id, {TEXT} AS text FROM customer"
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): one letter a customer."""
     return tables.table(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey AS doc_id", TEXT.replace("\n", "\\n") + " AS text")
+
+
+_YOUTH_LINES = [
+    "'The pupil is '", pick(3, "aged ", "ages: ", "age=", "average "), _number(3, 24, 23), "'. She is '", _number(2, 30, 29), pick(5, "-year-old", " years old", " year old", " years older"), "'.\n'",
+    pick(7, "For children under ", "Not below ", "Younger than ", "Wait under "), _number(1, 22, 31), pick(11, " years of age", ".", " bridges", ") now"), "'\n'",
+    pick(13, "Primary 3 class", "secondary 2", "Year 9 student", "Year 2 of the contract", "7th grade teacher", "tier 3rd grade", "12th grade of the policy", "primary 9"), "', '", pick(17, "parental consent", "VPC form", "child's location data", "high school roster", "kindergarten teacher", "tracking of minors", "minor repairs", "personal data of a child"), "'.\n'",
+    "'He has aged '", _number(10, 9, 37), pick(19, " of experience", "+ in office", " well"), "'.'",
+]
+YOUTH_TEXT = f"concat({', '.join(_YOUTH_LINES)})"
+YOUTH_PACKS = pick(23, "US", "EU,US", "CN", "SG,IN", "XX", "CN,EU,UK", "BR,US")
+YOUTH_SQL = f"SELECT c_custkey AS doc_id, {YOUTH_TEXT} AS text, string_split({YOUTH_PACKS}, ',') AS packs FROM customer"
+
+
+def youth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, packs): one note on young people a customer, and the jurisdictions that it falls under."""
+    return tables.table(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey AS doc_id", YOUTH_TEXT.replace("\n", "\\n").replace("''", "\\'") + " AS text", f"split({YOUTH_PACKS}, ',') AS packs")
