@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import rules
 from docsieve.functions.rules import Rule
-from docsieve.operators import joins, rewrite, scoring, spans, structure
+from docsieve.operators import joins, mapping_store, rewrite, scoring, spans, structure
 from docsieve.plans import oracle
 from docsieve.sources import tables
 
@@ -114,6 +114,25 @@ def pseudonymize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.spliced(_docs(spark, sf_dir), _numbered(spark, sf_dir)).select("doc_id", "n_replaced", F.sha2("text", 256).alias("text_sha256"))
 
 
+#: The key of the test of the mapping store, and the days that it keeps.
+_STORE_KEY, _STORE_FROM, _STORE_DAYS = b"sixteen bytes of", "2024-03-01", 20
+
+
+def mapping_store_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By day and type: originals in the sealed store, those that open again, that lie there in clear, that open with another key or in another document's place, and that a purge of the first ten days keeps."""
+    day = F.date_add(F.lit(_STORE_FROM).cast("date"), (F.col("doc_id") % _STORE_DAYS).cast("int"))
+    stored = mapping_store.sealed(rewrite.mapping(_numbered(spark, sf_dir)).withColumn("day", day), _STORE_KEY, F.col("day"))
+    back, other = mapping_store.opened(stored, _STORE_KEY), mapping_store.opened(stored, _STORE_KEY[::-1])
+    moved = mapping_store.opened(stored.withColumn("doc_id", F.col("doc_id") + 1), _STORE_KEY)
+    marks = [back.select("stored_on", "entity_type", F.lit(k).alias("k"), "original_text") for k, back in (("open", back), ("other", other), ("moved", moved))]
+    clear = stored.select("stored_on", "entity_type", F.lit("stored").alias("k"), F.unbase64("secret").cast("string").alias("original_text"))
+    rows = marks[0].unionByName(marks[1]).unionByName(marks[2]).unionByName(clear)
+    opens = lambda k: F.count_if((F.col("k") == k) & F.col("original_text").isNotNull())
+    readable = F.count_if((F.col("k") == "stored") & F.col("original_text").rlike("^[ -~]*$"))
+    kept = F.count_if((F.col("k") == "open") & (F.col("stored_on") >= F.date_add(F.lit(_STORE_FROM).cast("date"), _STORE_DAYS // 2)))
+    return rows.groupBy("stored_on", "entity_type").agg(F.count_if(F.col("k") == "stored").alias("n_stored"), opens("open").alias("n_opened"), readable.alias("n_clear"), opens("other").alias("n_other_key"), opens("moved").alias("n_moved"), kept.alias("n_kept"))
+
+
 def pseudonym_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.mapping(_numbered(spark, sf_dir))
 
@@ -158,7 +177,7 @@ def defined_terms_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {
     f.__name__: f
-    for f in (span_fused_all, ctx_line_guard, phone_contained_antijoin, overlap_resolve_fold, doc_score, doc_risk, policy_decision, lane_partition, suggestion_actions, pseudonymize_text, pseudonym_mapping, redact_opaque, reidentify_roundtrip, safe_rewrite_plan, structure_units, structure_parent_heading, smallest_unit, defined_terms_session)
+    for f in (span_fused_all, ctx_line_guard, phone_contained_antijoin, overlap_resolve_fold, doc_score, doc_risk, policy_decision, lane_partition, suggestion_actions, pseudonymize_text, pseudonym_mapping, mapping_store_check, redact_opaque, reidentify_roundtrip, safe_rewrite_plan, structure_units, structure_parent_heading, smallest_unit, defined_terms_session)
 }
 _SCORES = f"""{_FOUND},
 scores AS (
@@ -202,6 +221,9 @@ ORACLE_SQL |= {
     "suggestion_actions": f"WITH {_FOUND} SELECT rule, CASE WHEN category = 'PII' THEN 'redact' WHEN severity = 'high' THEN 'remove_or_hold' ELSE 'verify_or_rewrite' END AS suggestion, count(*) AS n FROM found GROUP BY ALL",
     "pseudonymize_text": f"WITH RECURSIVE {_NUMBERED}, {_spliced('numbered')} SELECT doc_id, coalesce(n, 0)::INT AS n_replaced, sha256(coalesce(head || substr(text, upto + 1), text)) AS text_sha256 FROM documents LEFT JOIN built USING (doc_id)",
     "redact_opaque": f"WITH RECURSIVE {_NUMBERED}, {_spliced('opaque')} SELECT doc_id, coalesce(n, 0)::INT AS n_replaced, sha256(coalesce(head || substr(text, upto + 1), text)) AS text_sha256 FROM documents LEFT JOIN built USING (doc_id)",
+    "mapping_store_check": f"""WITH RECURSIVE {_NUMBERED}, m AS (SELECT DISTINCT doc_id, placeholder, entity_type FROM numbered)
+      SELECT (DATE '{_STORE_FROM}' + (doc_id % {_STORE_DAYS})::INT)::DATE AS stored_on, entity_type, count(*) AS n_stored, count(*) AS n_opened, 0::BIGINT AS n_clear, 0::BIGINT AS n_other_key, 0::BIGINT AS n_moved,
+        count(*) FILTER (doc_id % {_STORE_DAYS} >= {_STORE_DAYS // 2}) AS n_kept FROM m GROUP BY ALL""",
     "pseudonym_mapping": f"WITH RECURSIVE {_NUMBERED} SELECT doc_id, placeholder, entity_type, arg_min(matched_text, start_char) AS original_text, count(*) AS occurrence_count FROM numbered GROUP BY ALL",
     "reidentify_roundtrip": "SELECT doc_id, true AS restored FROM documents",
     "safe_rewrite_plan": f"""WITH RECURSIVE {_ACCEPTED} SELECT f.doc_id, f.rule, f.start_char, f.end_char,
