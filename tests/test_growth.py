@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from docsieve.operators import issuers
+from docsieve.operators import issuers, joins
 
 
 def _plan(df):
@@ -15,3 +15,19 @@ def test_calendar_is_never_broadcast(spark):
     out = issuers.blackouts(docs, spark.createDataFrame([(7, "Blue Rail Ltd")], "issuer_id long, name string"), calendar)
     assert "strategy=merge" in _plan(out)
     assert [(r["doc_id"], r["announced_on"], r["days_left"], r["intent"]) for r in out.collect()] == [(1, dt.date(2024, 1, 11), 1, False)]
+
+
+def _found(spark, rows):
+    return spark.createDataFrame([(i, r, "PII", "low", 25.0, s, e, "x") for i, r, s, e in rows], "doc_id long, rule string, category string, severity string, score double, start_char int, end_char int, matched_text string")
+
+
+def test_spans_are_made_once_for_joins_with_their_own_document(spark):
+    found = _found(spark, [(1, "weak", 300, 305), (1, "t", 0, 100), (2, "weak", 300, 305), (2, "t", 0, 99), (None, "weak", 0, 5), (None, "t", 0, 5), (3, "weak", 5, 6)])
+    lifted = joins.amplified(found, ["weak"], ["t"])
+    assert sorted((r["doc_id"] or 0, r["severity"], r["score"]) for r in lifted.where("rule = 'weak'").collect()) == [(0, "low", 25.0), (1, "medium", 55.0), (2, "low", 25.0), (3, "low", 25.0)]
+    left = joins.outside(found, "weak", ["t"])
+    assert sorted((r["doc_id"] or 0, r["rule"]) for r in left.collect()) == [(0, "t"), (0, "weak"), (1, "t"), (1, "weak"), (2, "t"), (2, "weak"), (3, "weak")]
+    inside = joins.outside(_found(spark, [(1, "weak", 3, 5), (1, "weak", 3, 6), (1, "t", 3, 5)]), "weak", ["t"])
+    assert sorted((r["rule"], r["end_char"]) for r in inside.collect()) == [("t", 5), ("weak", 6)]
+    for out in (lifted, left):
+        assert _plan(out).count("LogicalRDD") == 1 and "Join" not in _plan(out) and lifted.columns == found.columns
