@@ -1,7 +1,10 @@
 """What must not grow faster than the tables: broadcasts, texts read twice, Python's memory."""
 
 import datetime as dt
+import random
+import re
 
+from docsieve.functions import vocabulary
 from docsieve.operators import issuers, joins
 
 
@@ -31,3 +34,14 @@ def test_spans_are_made_once_for_joins_with_their_own_document(spark):
     assert sorted((r["rule"], r["end_char"]) for r in inside.collect()) == [("t", 5), ("weak", 6)]
     for out in (lifted, left):
         assert _plan(out).count("LogicalRDD") == 1 and "Join" not in _plan(out) and lifted.columns == found.columns
+
+
+def test_tree_matches_what_the_alternatives_match():
+    rng = random.Random(5)
+    parts = ["ab", "a b", "abc", "ab-c", "(x)", "个人", "b", "B a", "c.", "9%"]
+    for phrases in ([*vocabulary.events()], [" ".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(40)]):
+        own, other = (re.compile(x, re.ASCII) for x in (vocabulary.tree(phrases), vocabulary.either(phrases)))
+        for _ in range(300):
+            text = "".join(rng.choice([x, x.upper()]) + rng.choice([" ", "", "  ", "\t", "_", ", "]) for x in rng.choices([*phrases, *parts], k=12))
+            assert [m.span() for m in own.finditer(text)] == [m.span() for m in other.finditer(text)]
+    assert vocabulary.tree([f"share price {k}" for k in range(50)]).count("price") == 1
