@@ -5,7 +5,7 @@ import random
 import re
 
 from docsieve.functions import vocabulary
-from docsieve.operators import issuers, joins
+from docsieve.operators import issuers, joins, reident
 
 
 def _plan(df):
@@ -45,3 +45,15 @@ def test_tree_matches_what_the_alternatives_match():
             text = "".join(rng.choice([x, x.upper()]) + rng.choice([" ", "", "  ", "\t", "_", ", "]) for x in rng.choices([*phrases, *parts], k=12))
             assert [m.span() for m in own.finditer(text)] == [m.span() for m in other.finditer(text)]
     assert vocabulary.tree([f"share price {k}" for k in range(50)]).count("price") == 1
+
+
+def test_seeds_read_spans_once_and_group_no_rows_in_python(spark):
+    found = _found(spark, [(1, r, s, s + 2) for s, r in enumerate("abcab")] + [(2, r, s, s + 9) for r, s in (("a", 0), ("b", 400), ("a", 450), ("c", 501), ("d", 900))] + [(None, r, 0, 1) for r in "abc"])
+    out = reident.seeds(found)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 6, 3), (2, 400, 909, 4)]
+    assert out.columns == ["doc_id", "start_char", "end_char", "n_rules"] and _plan(out).count("LogicalRDD") == 1 and "FlatMapGroupsInPandas" not in _plan(out)
+
+
+def test_weights_of_distinct_rules(spark):
+    found = _found(spark, [(1, "named_person", 0, 1), (1, "named_person", 5, 6), (1, "us_ssn", 8, 9), (1, "date_of_birth", 8, 9), (2, "other", 0, 1)])
+    assert sorted(map(tuple, reident.weights(found).collect())) == [(1, 1.9, 2, True), (2, 0.0, 0, False)]
