@@ -38,7 +38,7 @@ def find(docs: DataFrame, fields: list[Field], id_col: str = "doc_id", text_col:
     rows = [(k, f.rule, f.severity, SEVERITY_SCORE[f.severity], f.pattern() + f.end, f.pattern("(?:") + f.end, f.check, f.unless, f.whole) for k, f in enumerate(fields)]
     table = F.broadcast(spark.createDataFrame(rows, "rule_no int, rule string, severity string, score double, whole_pattern string, value_pattern string, check string, unless string, whole boolean"))
     names = F.broadcast(spark.createDataFrame(list(enumerate(groups)), "phrase int, rule_no int"))
-    hits = keywords.hits(docs, phrases, BEFORE, AFTER, id_col, text_col, groups).join(names, "phrase").join(table, "rule_no")
+    hits = keywords.hits(docs, phrases, BEFORE, AFTER, id_col, text_col, groups, with_text=True).join(names, "phrase").join(table, "rule_no")
     found = spans.once(hits, value=F.expr("regexp_extract(right, whole_pattern, 1)"), taken=F.expr("regexp_extract(right, value_pattern, 0)")).where("value <> ''")
     line = F.concat(F.substring_index("left", "\n", -1), F.col("found"), F.substring_index("right", "\n", 1))
     kept = found.where(_passes(F.col("check"), F.col("value"))).withColumn("line", line).where("unless = '' OR NOT line RLIKE unless")

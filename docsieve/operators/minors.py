@@ -49,7 +49,7 @@ def find(docs: DataFrame, packs: Column, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), cliffs_of(packs).alias("__cliffs")).withColumn("__lower", F.lower("__text"))
     told = rows.select("__id", "__cliffs", F.explode(_told(F.col("__text"))).alias("x")).select("__id", "__cliffs", "x.start_char", "x.end_char", "x.matched_text", "x.age")
-    marked = keywords.hits(rows.select(F.struct("__id", "__cliffs").alias("__key"), "__text"), ages.PHRASES, 0, ages.AFTER, "__key", "__text").where(~F.col("right").rlike(ages.NOT_AFTER))
+    marked = keywords.hits(rows.select(F.struct("__id", "__cliffs").alias("__key"), "__text"), ages.PHRASES, 0, ages.AFTER, "__key", "__text", with_text=True).where(~F.col("right").rlike(ages.NOT_AFTER))
     marked = marked.select("__key.__id", "__key.__cliffs", "start_char", "end_char", F.col("found").alias("matched_text"), F.lit(None).cast("int").alias("age"))
     found = told.unionByName(marked)
     hit = F.filter("__cliffs", lambda c: F.col("age").isNull() | (F.col("age") < c["cliff"]))

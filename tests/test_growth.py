@@ -4,8 +4,11 @@ import datetime as dt
 import random
 import re
 
+import pyarrow as pa
+
+
 from docsieve.functions import vocabulary
-from docsieve.operators import issuers, joins, reident
+from docsieve.operators import issuers, joins, keywords, reident
 
 
 def _plan(df):
@@ -57,3 +60,11 @@ def test_seeds_read_spans_once_and_group_no_rows_in_python(spark):
 def test_weights_of_distinct_rules(spark):
     found = _found(spark, [(1, "named_person", 0, 1), (1, "named_person", 5, 6), (1, "us_ssn", 8, 9), (1, "date_of_birth", 8, 9), (2, "other", 0, 1)])
     assert sorted(map(tuple, reident.weights(found).collect())) == [(1, 1.9, 2, True), (2, 0.0, 0, False)]
+
+
+def test_hits_leave_python_in_pieces():
+    texts = ["token " * 3000, None, "", "a token"] + ["token token"] * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    out = list(keywords.pieces(iter([batch]), keywords.automaton(["token"]), 4, 4))
+    assert max(b.num_rows for b in out) <= 1024 and sum(b.num_rows for b in out) == 7001
+    assert sorted((i, s) for b in out for i, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)) == sorted([(0, 6 * k) for k in range(3000)] + [(3, 2)] + [(k, s) for k in range(4, 2004) for s in (0, 6)])
