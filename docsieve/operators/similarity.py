@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Terms of the advisory signal, and the weights of its parts.
@@ -30,18 +30,28 @@ def term_hits(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"terms": F.array_join(F.array_sort(F.array_intersect(t, terms)), ","), "n_hits": hits, "density": F.round(F.coalesce(1000 * hits / F.nullif(F.size(t), F.lit(0)), F.lit(0.0)), 4)})
 
 
+#: Most characters of exemplars whose tokens are sent to every task.
+MOST_CHARS = 1 << 25
+
+
 def _weighted(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n, norm2): counts of tokens and the squared length of each text's vector."""
-    counted = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    return counted.join(counted.groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias("norm2")), key)
+    """(key, token, n, norm2): counts of tokens and the squared length of each text's vector.
+
+    Texts are dealt by key before they fall into tokens, which then stay where they are: a text is shuffled once, its tokens never.
+    """
+    dealt = rows.where(F.col(key).isNotNull()).select(key, F.col(text).alias("__text")).repartition(key)
+    counted = dealt.select(key, F.explode(tokens(F.col("__text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return counted.withColumn("norm2", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
 
 
 def nearest(docs: DataFrame, exemplars: DataFrame, key: str, item: str, text: str = "text") -> DataFrame:
     """(key, item, similarity): the exemplar of largest cosine for each text that shares a token with one; ties go to the smaller item.
 
-    Texts meet exemplars only on tokens of exemplars; the exemplars' distinct tokens, the small side, are the build side if they fit.
+    Texts meet exemplars only on tokens of exemplars, which are the build side where all exemplars together are small; else the join shuffles.
     """
     side = _weighted(exemplars, item, text).withColumnsRenamed({"n": "m", "norm2": "m2"})
+    if (exemplars.agg(F.sum(F.length(text))).first()[0] or 0) <= MOST_CHARS:
+        side = F.broadcast(side)
     met = _weighted(docs, key, text).join(side, "token").groupBy(key, item, "norm2", "m2").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     like = F.round(F.col("dot") / F.sqrt(F.col("norm2").cast("double") * F.col("m2")), 6)
     best = met.groupBy(key).agg(F.max(F.struct(like.alias("similarity"), (-F.col(item)).alias("least"))).alias("best"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 
 from docsieve.functions import vocabulary
-from docsieve.operators import issuers, joins, keywords, reident
+from docsieve.operators import issuers, joins, keywords, reident, similarity
 
 
 def _plan(df):
@@ -68,3 +68,14 @@ def test_hits_leave_python_in_pieces():
     out = list(keywords.pieces(iter([batch]), keywords.automaton(["token"]), 4, 4))
     assert max(b.num_rows for b in out) <= 1024 and sum(b.num_rows for b in out) == 7001
     assert sorted((i, s) for b in out for i, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)) == sorted([(0, 6 * k) for k in range(3000)] + [(3, 2)] + [(k, s) for k in range(4, 2004) for s in (0, 6)])
+
+
+def test_nearest_shuffles_texts_and_not_their_tokens(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (1, "gamma"), (2, "delta"), (3, None), (None, "alpha")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "beta beta"), (4, "beta"), (6, "gamma"), (7, None)], "item_id long, text string")
+    out = similarity.nearest(docs, items, "doc_id", "item_id")
+    assert [tuple(r) for r in out.collect()] == [(1, 4, 0.816497)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    whole = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Exchange hashpartitioning(token" not in whole and "Exchange hashpartitioning(doc_id" in whole and ", token#" not in "".join(x for x in whole.splitlines() if "Exchange hashpartitioning" in x)
