@@ -31,9 +31,10 @@ def defined_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def defined_term_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names behind an honorific that aren't a term of their document, against all of them, by rule and text."""
     docs = agreements.agreements(spark, sf_dir)
-    found = spans.find(docs, [rules.Rule("named_person", "PII", "low", persons.NAME)])
-    kept = persons.suppressed(found, docs).groupBy("matched_text").agg(F.count("*").alias("n_kept"))
-    return found.groupBy("matched_text").agg(F.count("*").alias("n_found")).join(kept, "matched_text", "left").select("matched_text", "n_found", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+    # A document's terms travel with it, so that texts are read once and only counts are shuffled.
+    held = docs.select(F.struct("doc_id", persons.defined_terms("text").alias("terms")).alias("held"), "text")
+    found = spans.find(held, [rules.Rule("named_person", "PII", "low", persons.NAME)], id_col="held")
+    return found.groupBy("matched_text").agg(F.count("*").alias("n_found"), F.count_if(persons.undefined(F.col("matched_text"), F.col("held.terms"))).alias("n_kept"))
 
 
 _q = oracle.quoted

@@ -5,10 +5,12 @@ import random
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 
 from docsieve.functions import vocabulary
-from docsieve.operators import issuers, joins, keywords, reident, similarity
+from docsieve.operators import issuers, joins, keywords, reident, similarity, structure
+from docsieve.plans import catalogue
 
 
 def _plan(df):
@@ -79,3 +81,12 @@ def test_nearest_shuffles_texts_and_not_their_tokens(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     whole = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "Exchange hashpartitioning(token" not in whole and "Exchange hashpartitioning(doc_id" in whole and ", token#" not in "".join(x for x in whole.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_lines_and_terms_are_told_beside_their_texts(spark):
+    texts = ["one\ntwo\n\nfour", "", "\n", "a"]
+    rows = spark.createDataFrame([(t, k) for t in texts for k in range(len(t))], "text string, at int")
+    assert all(r["n"] == r["text"][: r["at"]].count("\n") for r in rows.select("text", "at", structure.line_no(F.col("text"), F.col("at")).alias("n")).collect())
+    for name in ("singling_out_units", "defined_term_suppression"):
+        plan = _plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Join" not in plan and "Window" not in plan and plan.count("Relation [") == 1, name
