@@ -161,6 +161,19 @@ def test_passages_around_a_common_phrase(spark, seed, size):
     assert not missed
 
 
+@pytest.mark.parametrize("size, pairs", [(30, 60), (45, 20)])
+def test_near_passages_around_a_common_phrase(spark, size, pairs):
+    """Passages with one word changed behind a phrase that hundreds of smaller documents share: by rare tokens around a shorter phrase, in rounds around one nearly as long as a passage."""
+    common = prose(50, size)
+    rows = [(k, f"{prose(5000 + k, 60)} {common} {prose(6000 + k, 60)}") for k in range(1, 301)]
+    for n in range(pairs):
+        tail = prose(20000 + n, 56 - size)
+        for j in range(2):
+            rows.append((1001 + 2 * n + j, f"{prose(7000 + 2 * n + j, 40)} {common} word{j} {tail} {prose(8000 + 2 * n + j, 40)}"))
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1002 + 2 * n, 1001 + 2 * n) for n in range(pairs)}
+
+
 def test_passages_of_rows_that_share_an_id(spark):
     """Two texts of one id, the one much shorter, and a repeated row; passages go from the right ones."""
     passage = prose(1, 70)
