@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 from docsieve.functions import vocabulary
-from docsieve.operators import issuers, joins, keywords, reident, similarity, structure
+from docsieve.operators import issuers, joins, keywords, reident, similarity, spans, structure
 from docsieve.plans import catalogue
 
 
@@ -90,3 +90,14 @@ def test_lines_and_terms_are_told_beside_their_texts(spark):
     for name in ("singling_out_units", "defined_term_suppression"):
         plan = _plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "Join" not in plan and "Window" not in plan and plan.count("Relation [") == 1, name
+
+
+def test_split_is_given_no_pattern(spark):
+    """But for texts that hold the character put in place of a match, whose spans are right all the same."""
+    texts = ["a-1 b\U0001f600-22 c", "\x01 a-1 \x01 b-22", "x-3", "é\U0001f600 x-3", "\x01x-3", "none", "", None, "-7 " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cap, pattern in ((False, "-[0-9]+"), (True, "-([0-9]+)")):
+        found = docs.select("doc_id", F.explode(spans.matches("text", pattern, cap)).alias("x")).select("doc_id", "x.*")
+        assert "regexp_replace(" in _plan(found)
+        expected = [(k, m.start(int(cap)), m.end(int(cap)), m[int(cap)]) for k, t in enumerate(texts) for m in re.finditer(pattern, t or "")]
+        assert sorted(tuple(r) for r in found.collect()) == expected
