@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 from docsieve.functions import vocabulary
-from docsieve.operators import issuers, joins, keywords, reident, similarity, spans, structure
+from docsieve.operators import addresses, issuers, joins, keywords, reident, similarity, spans, structure
 from docsieve.plans import catalogue
 
 
@@ -92,6 +92,12 @@ def test_lines_and_terms_are_told_beside_their_texts(spark):
         assert "Join" not in plan and "Window" not in plan and plan.count("Relation [") == 1, name
 
 
+def test_lines_of_an_address_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "Home address: 12 Station Road,\nSingapore 569933\nPhone: 1\nMr Tan, x")], "doc_id long, text string")
+    assert _plan(addresses.find(docs)).count("regexp_extract(") < 10
+    assert [tuple(r)[2:] for r in addresses.find(docs).collect()] == [("labelled", 14, 47, "12 Station Road,\nSingapore 569933")]
+
+
 def test_split_is_given_no_pattern(spark):
     """But for texts that hold the character put in place of a match, whose spans are right all the same."""
     texts = ["a-1 b\U0001f600-22 c", "\x01 a-1 \x01 b-22", "x-3", "é\U0001f600 x-3", "\x01x-3", "none", "", None, "-7 " * 200]
