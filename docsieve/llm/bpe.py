@@ -1,14 +1,13 @@
-"""Byte-level BPE by a public rank file: encoding of distinct words with Spark's higher-order functions, and decoding.
+"""Byte-level BPE by a public rank file: encoding of distinct words in Arrow batches, and decoding with Spark's higher-order functions.
 
-A task goes through its texts a slice at a time. The first step finds the words (matches of the splitting pattern) that the task hasn't met yet,
+A task goes through its texts a slice at a time. It finds the words (matches of the splitting pattern) that it hasn't met yet,
 and turns each text into numbers of its chunks (words with the spaces before them), which are split once each.
-Spark then folds the merges over the bytes of each new word: a word is an array of token ids beside one of the ranks at which neighbours merge, and every
-step joins the leftmost pair of least rank, whose rank is the id of what it becomes. The rank maps are literals of the plan: an array of small buckets
-addressed by a checksum of a word's bytes, and an array in which each pair of tokens has a slot of its own, so a lookup doesn't depend on the vocabulary's size. The last step puts the words' ids together
-into those of the texts.
+The merges of all new words go on side by side in arrays: every step joins, in each word that has one, the leftmost pair of least rank, whose rank is the id of
+what it becomes, and words without a pair leave. The ranks of pairs are an array in which each pair of tokens has a slot of its own, so a lookup doesn't
+depend on the vocabulary's size. Then the words' ids are put together into those of the texts.
 
 All of that is one stage without a shuffle; words are distinct within a task, as far as it remembers them. A task remembers at most CHUNKS chunks of
-CHUNK_BYTES bytes together, beside those of one slice; then both steps forget them together, so memory is bounded whatever the corpus.
+CHUNK_BYTES bytes together, beside those of one slice; then it forgets them, so memory is bounded whatever the corpus.
 
 Defined cases: a null or empty text has no ids. Texts of any length are encoded whole; the work for one word grows with the square of
 its length, as each merge copies its arrays. Repeated rows give repeated rows. Columns beside the named ones aren't read.
@@ -19,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +28,10 @@ from pyspark.sql import functions as F
 from docsieve.llm import shared
 from docsieve.llm.tokens import before_spaces, texts_of
 
-#: Chunks that a task remembers and their bytes, bytes of text that go through a step together, buckets of the map of words, and shifts tried at a time for a left token's row.
-CHUNKS, CHUNK_BYTES, SLICE, BUCKETS, TRIES = 400_000, 16 << 20, 1 << 20, 1 << 16, 512
-#: Bits of a token's id and of a piece's place in its word, and the rank of what doesn't merge.
-_ID, _PLACE, _NONE = 17, 29, (1 << 17) - 1
+#: Chunks that a task remembers and their bytes, bytes of text that go through a step together, bytes of words whose merges go on side by side, and shifts tried at a time for a left token's row.
+CHUNKS, CHUNK_BYTES, SLICE, SIDE_BY_SIDE, TRIES = 400_000, 16 << 20, 1 << 20, 1 << 17, 512
+#: Bits of a token's id, and the rank of what doesn't merge.
+_ID, _NONE = 17, (1 << 17) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,10 +40,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _constant(values: object, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
 def displaced(pairs: dict[tuple[int, int], int]) -> tuple[list[int | None], list[int | None]]:
     """Two arrays, `shift` and `slots`: the entry of a pair (a, b) is slots[shift[a] + b], its rank beside a, and no two pairs share a slot.
 
@@ -77,23 +71,57 @@ def displaced(pairs: dict[tuple[int, int], int]) -> tuple[list[int | None], list
     return shift, slots
 
 
-def tables(ranks: dict[bytes, int]) -> Column:
-    """The rank maps as a constant: `words` by bytes (in hex), `shift` and `slots` for two tokens that merge, and `pairs`, for a byte and the next (256 for none) its id and their rank."""
-    if max(ranks.values()) >= _NONE:
-        raise ValueError(f"ranks from {_NONE} on don't fit")
-    words: list[dict[str, list]] = [{"k": [], "r": []} for _ in range(BUCKETS)]
-    for t, r in ranks.items():
-        bucket = words[zlib.crc32(t) % BUCKETS]
-        bucket["k"].append(t.hex().upper())
-        bucket["r"].append(r)
-    merging = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-    shift, slots = displaced(merging)
-    byte = [ranks[bytes([b])] for b in range(256)]
-    first = [(merging.get((byte[a], byte[b]), _NONE) if b < 256 else _NONE) << _ID + _PLACE | byte[a] for a in range(256) for b in range(257)]
-    return F.struct(
-        _constant(words, "array<struct<k:array<string>,r:array<bigint>>>").alias("words"), _constant(shift, "array<int>").alias("shift"),
-        _constant(slots, "array<bigint>").alias("slots"), _constant(first, "array<bigint>").alias("pairs"),
-    )
+class Merges:
+    """The ranks at which tokens merge, as arrays, and the merges of words."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values()) >= _NONE:
+            raise ValueError(f"ranks from {_NONE} on don't fit")
+        shift, slots = displaced({(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks})
+        most = 1 + max(ranks.values())
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # A left token without a row looks at other rows, whose entries name another left token.
+        self.shift = np.array([x or 0 for x in shift] + [0] * (most - len(shift)), np.int64)
+        self.slots = np.array([-1 if x is None else x for x in slots] + [-1] * most, np.int64)
+
+    def at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank at which each two tokens merge."""
+        entry = self.slots[self.shift[a] + b]
+        return np.where(entry >> _ID == a, entry & _NONE, _NONE)
+
+    def merged(self, letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, given as their bytes one after the other and where each ends (0 first); the ids in the same form. No word is empty."""
+        tokens, starts, sizes, names = self.bytes[letters], ends[:-1].astype(np.int64), np.diff(ends).astype(np.int64), np.arange(len(ends) - 1)
+        ranks = np.full(len(tokens), _NONE, np.int64)
+        ranks[:-1] = self.at(tokens[:-1], tokens[1:])
+        ranks[starts + sizes - 1] = _NONE
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(names):
+            # The least of rank and place is the leftmost pair of least rank.
+            least = np.minimum.reduceat((ranks << 32) | np.arange(len(ranks)), starts)
+            goes, at = least >> 32 < _NONE, least & 0xFFFFFFFF
+            if not goes.all():
+                stays = np.repeat(goes, sizes)
+                out.append((names[~goes], sizes[~goes], tokens[~stays]))
+                at = (np.cumsum(stays) - 1)[at[goes]]
+                tokens, ranks, sizes, names = tokens[stays], ranks[stays], sizes[goes], names[goes]
+                if not len(names):
+                    break
+            tokens[at] = ranks[at]
+            stays = np.ones(len(tokens), bool)
+            stays[at + 1] = False
+            tokens, ranks, at, sizes = tokens[stays], ranks[stays], at - np.arange(len(at)), sizes - 1
+            starts = np.cumsum(sizes) - sizes
+            inner = at < starts + sizes - 1
+            ranks[at] = _NONE
+            ranks[at[inner]] = self.at(tokens[at[inner]], tokens[at[inner] + 1])
+            inner = at > starts
+            ranks[at[inner] - 1] = self.at(tokens[at[inner] - 1], tokens[at[inner]])
+        names, sizes, flat = (np.concatenate([x[k] for x in out]) for k in range(3))
+        order = np.argsort(names)
+        begin = (np.cumsum(sizes) - sizes)[order]
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        return flat[np.repeat(begin - ends[:-1], sizes[order]) + np.arange(ends[-1])], ends
 
 
 def _with(value: Column, body) -> Column:
@@ -101,45 +129,6 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _merges_at(table: Column, a: Column, b: Column) -> Column:
-    """The rank at which two tokens merge: what a slot holds beside the left token. With another left token it's more than any rank; empty slots and missing neighbours are null."""
-    entry = F.get(table["slots"], F.get(table["shift"], a.cast("int")) + b.cast("int"))
-    return F.least(entry.bitwiseXOR(F.shiftleft(a, _ID)), F.lit(_NONE).cast("long"))
-
-
-def encoded_word(word: Column, letters: Column, table: Column) -> Column:
-    """Ids of a word, given as bytes and as an array of their values: its own rank if it has one, else what is left after all merges.
-
-    A piece is one number: the rank at which it merges with the next piece, its place, its id, from the highest bits to the lowest.
-    The least of them is the leftmost pair of least rank. A piece that merges with nothing stands before the first.
-    """
-    rest = (1 << _ID + _PLACE) - 1
-    places = rest - (1 << _ID) + 1
-    id_of = lambda piece: piece.bitwiseAND((1 << _ID) - 1)
-    ranked = lambda a, b, low: F.shiftleft(_merges_at(table, a, b), _ID + _PLACE).bitwiseOR(low)
-    bound = F.lit((_NONE << _ID + _PLACE) + _NONE).cast("long")
-
-    def start(b: Column, i: Column) -> Column:
-        return F.get(table["pairs"], b * 257 + F.coalesce(F.get(letters, i + 1), F.lit(256))).bitwiseOR(F.shiftleft((i + 1).cast("long"), _ID))
-
-    def merged(pieces: Column, least: Column, at: Column) -> Column:
-        rank, last = F.shiftright(least, _ID + _PLACE), F.get(pieces, at - 2)
-        new = ranked(rank, id_of(F.get(pieces, at + 1)), least.bitwiseAND(places).bitwiseOR(rank))
-        before = ranked(id_of(last), rank, last.bitwiseAND(rest))
-        return F.flatten(F.array(F.slice(pieces, F.lit(1), at - 2), F.array(before, new), F.slice(pieces, at + 2, F.size(pieces))))
-
-    def step(pieces: Column, _: Column) -> Column:
-        # Pieces up to the least one are counted by their places: array_position() leaves its loop by an exception, which costs more.
-        place = lambda piece: piece.bitwiseAND(places)
-        position = lambda least: F.size(F.filter(pieces, lambda x: place(x) <= place(least)))
-        return _with(F.array_min(pieces), lambda least: F.when(least < _NONE << _ID + _PLACE, _with(position(least), lambda at: merged(pieces, least, at))).otherwise(pieces))
-
-    fold = F.aggregate(letters, F.concat(F.array(bound), F.transform(letters, start)), step, lambda pieces: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), id_of))
-    found = lambda bucket: F.get(bucket["r"], F.array_position(bucket["k"], F.hex(word)).cast("int") - 1)
-    whole = _with(F.get(table["words"], (F.crc32(word) % BUCKETS).cast("int")), found)
-    return _with(whole, lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(fold))
-
-
 class _Numbers(dict):
     """Numbers of things in the order in which they are first asked for; `new` collects them."""
 
@@ -152,10 +141,6 @@ class _Numbers(dict):
         return number
 
 
-def _one_row(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
 def _ends(sizes: list[int]) -> np.ndarray:
     return np.cumsum([0, *sizes]).astype(np.int32)
 
@@ -179,68 +164,63 @@ class _Pieces:
         return before[ends], self.flat[take]
 
 
+def _encoded(words: list[bytes], ranks: dict[bytes, int], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, and where each word's end: its own rank if it has one, else what is left after all merges."""
+    whole = [ranks.get(w) for w in words]
+    parts = [w for w, rank in zip(words, whole, strict=True) if rank is None]
+    letters, ends = np.frombuffer(b"".join(parts), np.uint8), _ends(list(map(len, parts)))
+    found = [merges.merged(letters[ends[a] : ends[b]], ends[a : b + 1] - ends[a]) for a, b in shared.slices(ends, SIDE_BY_SIDE)]
+    left, sizes = np.array([rank is None for rank in whole], bool), np.ones(len(words), np.int64)
+    sizes[left] = np.concatenate([np.zeros(0, np.int64), *(np.diff(e) for _, e in found)])
+    ids = np.zeros(sizes.sum(), np.int64)
+    inside = np.repeat(left, sizes)
+    ids[inside] = np.concatenate([np.zeros(0, np.int64), *(flat for flat, _ in found)])
+    ids[~inside] = [rank for rank in whole if rank is not None]
+    return np.concatenate([[0], np.cumsum(sizes)]), ids
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, ids array<int>) of each row; or, with digests, (id, n_tokens, ids_sha256, decoded_sha256), where the ids are decoded again."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = rows.schema[0].dataType.simpleString()
-    pieces = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
-    numbers = ["texts", "text_ends", "chunks", "chunk_ends"]
+    shared_table = spark.sparkContext.broadcast((ranks, Merges(ranks)))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        ranks, merges = shared_table.value
+        table = {rank: token for token, rank in ranks.items()} if digests else {}
+        decimals = {rank: str(rank).encode() for rank in table}
         split = regex.compile(pattern).findall
-        chunks, words, held = _Numbers(), _Numbers(), 0
+        chunks, words, held, of_words, of_chunks = _Numbers(), _Numbers(), 0, _Pieces(), _Pieces()
         for batch in batches:
             data, offsets = shared.utf8(batch.column(1))
             for a, b in shared.slices(offsets, SLICE):
-                forget = len(chunks) > CHUNKS or held > CHUNK_BYTES
-                if forget:
-                    chunks, words, held = _Numbers(), _Numbers(), 0
+                if len(chunks) > CHUNKS or held > CHUNK_BYTES:
+                    chunks, words, held, of_words, of_chunks = _Numbers(), _Numbers(), 0, _Pieces(), _Pieces()
                 parts = [before_spaces(t) for t in texts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-                texts = [chunks[c] for own in parts for c in own]
+                texts = np.array([chunks[c] for own in parts for c in own], np.int64)
                 new = [split(c.decode()) for c in chunks.new]
-                of_chunks = [words[w.encode()] for own in new for w in own]
+                numbers = np.array([words[w.encode()] for own in new for w in own], np.int64)
                 held += sum(map(len, chunks.new))
-                letters = pa.array(np.frombuffer(b"".join(words.new), np.uint8).astype(np.int32))
-                packed = [np.array(x, np.int32).tobytes() for x in (texts, _ends(list(map(len, parts))), of_chunks, _ends(list(map(len, new))))]
-                columns = [
-                    _one_row(batch.column(0).slice(a, b - a)), *(pa.array([x], pa.binary()) for x in packed),
-                    _one_row(pa.array(words.new, pa.binary())), _one_row(pa.ListArray.from_arrays(pa.array(_ends(list(map(len, words.new)))), letters)), pa.array([forget]),
-                ]
+                of_words.add(*_encoded(words.new, ranks, merges))
+                of_chunks.add(*of_words.of(numbers, _ends(list(map(len, new)))))
                 chunks.new, words.new = [], []
-                yield pa.RecordBatch.from_arrays(columns, names=["names", *numbers, "words", "letters", "forget"])
-
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
-        decimals = {rank: str(rank).encode() for rank in table} if digests else {}
-        words, chunks = _Pieces(), _Pieces()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(6)[i].as_py():
-                    words, chunks = _Pieces(), _Pieces()
-                texts, text_ends, of_chunks, chunk_ends = (np.frombuffer(batch.column(1 + k)[i].as_buffer(), np.int32) for k in range(4))
-                names, new = batch.column(0)[i].values, batch.column(5)[i].values
-                if len(new):
-                    words.add(new.offsets.to_numpy(), new.flatten().to_numpy(zero_copy_only=False))
-                chunks.add(*words.of(of_chunks, chunk_ends))
-                ends, ids = chunks.of(texts, text_ends)
+                ends, ids = of_chunks.of(texts, _ends(list(map(len, parts))))
+                names = batch.column(0).slice(a, b - a)
                 if not digests:
                     yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=[id_col, "ids"])
                     continue
                 shas, decoded = [], []
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    own = ids[a:b].tolist()
+                for low, high in zip(ends[:-1], ends[1:], strict=True):
+                    own = ids[low:high].tolist()
                     shas.append(hashlib.sha256(b",".join(map(decimals.__getitem__, own))).hexdigest())
                     decoded.append(hashlib.sha256(b"".join(map(table.__getitem__, own))).hexdigest())
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(ends), pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    found = rows.mapInArrow(find, f"names array<{kind}>, {', '.join(f'{n} binary' for n in numbers)}, words array<binary>, letters array<array<int>>, forget boolean")
-    one = lambda table: F.transform(F.arrays_zip("words", "letters"), lambda w: encoded_word(w["words"], w["letters"], table))
-    return found.select("names", *numbers, _with(tables(ranks), one).alias("ids"), "forget").mapInArrow(assemble, f"`{id_col}` {kind}, {out}")
+    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
+    return rows.mapInArrow(build, f"`{id_col}` {kind}, {out}")
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

@@ -119,6 +119,19 @@ def test_bpe_of_small_slices_and_a_long_word(spark, monkeypatch):
     assert {r["doc_id"]: r["ids"] for r in found.collect()} == {k: plain.encode_ordinary(t or "") for k, t in rows}
 
 
+def test_bpe_merges_side_by_side():
+    """Words of all lengths at once, of letters that merge often, of any bytes, and repeated ones: each as it is by itself."""
+    ranks, plain = _tiktoken()
+    rng = random.Random(5)
+    words = [bytes(rng.choice(b"aehnorst ") if k % 3 else rng.randrange(256) for _ in range(1 + k % 40)) for k in range(3000)] + [b"ab" * 500, b"a" * 999, b"the", b"the"]
+    ends = np.cumsum([0, *map(len, words)])
+    ids, at = bpe.Merges(ranks).merged(np.frombuffer(b"".join(words), np.uint8), ends)
+    for k, w in enumerate(words):
+        own = ids[at[k] : at[k + 1]].tolist()
+        assert b"".join(plain.decode_single_token_bytes(i) for i in own) == w
+        assert own == plain._encode_single_piece(w), w
+
+
 def test_bpe_empty(empty):
     assert bpe.op4(empty, RANKS, public_tokenizers.PATTERN).collect() == []
 
