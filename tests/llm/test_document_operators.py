@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from docsieve.llm import graph, jaccard_join, language_id, quality_rules, secret_scan, substring_dedup, topk_search, warc
+from docsieve.llm import graph, jaccard_join, language_id, quality_rules, secret_scan, shared, substring_dedup, topk_search, warc
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -362,3 +364,16 @@ def test_warc_round_trip(spark, sf_dir):
     found = warc.read(warc.lookup(index, spark.createDataFrame([("http://a.example.com/x?q=1",), ("http://none.example.com/",)], "url string"))).collect()
     assert sorted((r["page_id"], r["html"]) for r in found) == [(1, None), (5, "small é")]
     assert warc.op5(pages.where("false")).collect() == []
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """What was shuffled for a table goes with its job, not with the driver's garbage."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    before = files()
+    table = shared.written(spark.range(10_000).repartition(4), "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 10_000
