@@ -176,6 +176,32 @@ def test_near_passages_around_a_common_phrase(spark, size, pairs):
     assert found == {(1002 + 2 * n, 1001 + 2 * n) for n in range(pairs)}
 
 
+def test_near_passages_in_a_cell_beyond_a_task(spark, monkeypatch):
+    """Cells of more than CELL windows are taken apart by joins, with the same pairs."""
+    monkeypatch.setattr(substring_dedup, "CELL", 64)
+    test_near_passages_around_a_common_phrase(spark, 30, 20)
+
+
+def test_partners_against_counting():
+    """Tokens shared within a cell, by lists and by products: those of many windows, of few, and repeated ones."""
+    rng = np.random.default_rng(5)
+    near = [np.concatenate([rng.integers(0, 40, 30), rng.integers(0, 3000, rng.integers(0, 80))]) for _ in range(120)]
+    doc, asks = np.sort(rng.integers(0, 60, 120)), np.flatnonzero(rng.random(120) < 0.5)
+    found = {(int(a), int(b)): int(n) for x in substring_dedup._partners(np.concatenate(near), np.repeat(np.arange(120), [len(x) for x in near]), doc, asks) for a, b, n in zip(*x, strict=True)}
+    counted = {(int(a), b): int(np.isin(near[a], near[b]).sum()) for a in asks for b in range(120) if doc[b] < doc[a]}
+    expected = {k: n for k, n in counted.items() if n >= substring_dedup.SHARED}
+    assert 0 < len(expected) < len(counted) and found == expected
+
+
+def test_a_chain_with_too_many_edits_is_taken_apart():
+    """Runs that are chained, 0.71 alike in all, of which the first three are 0.82 alike and none is a passage by itself."""
+    a = np.arange(145)
+    b = a.copy()
+    for start in (40, 85, 100, 115, 130):
+        b[start : start + 5] += 1000
+    assert substring_dedup.passages(a, b, [(10, 10)]) == [(0, 100, 0, 100, pytest.approx(90 / 110))]
+
+
 def test_passages_of_rows_that_share_an_id(spark):
     """Two texts of one id, the one much shorter, and a repeated row; passages go from the right ones."""
     passage = prose(1, 70)
