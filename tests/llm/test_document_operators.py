@@ -193,6 +193,43 @@ def test_partners_against_counting():
     assert 0 < len(expected) < len(counted) and found == expected
 
 
+def test_partners_line_up(spark):
+    """Windows whose surroundings hold the same tokens in another order aren't partners; near copies of them are, shifted ones too."""
+    base = np.arange(1, 118)
+    mixed = base.copy()
+    mixed[:116:2], mixed[1:116:2] = base[1:116:2], base[:116:2]
+    near = base.copy()
+    near[30:35] += 1000
+    shifted = np.concatenate([base[:80], [2001, 2002], base[80:115]])
+    rows = [(1, k + 1, 58 << 32, 7, 0, k == 3, x.tolist()) for k, x in enumerate((base, mixed, shifted, near))]
+    windows = spark.createDataFrame(rows, "half long, doc_id long, place long, cell long, mark long, asks boolean, near array<int>")
+    assert {(r["doc_id"], r["other_id"]) for r in substring_dedup._sharing(windows, 0, substring_dedup.FIRST).collect()} == {(4, 1), (4, 3)}
+
+
+def test_passages_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(8)
+    pairs = []
+    for _ in range(40):
+        a = rng.integers(0, 5000, rng.integers(0, 300))
+        b = np.concatenate([rng.integers(0, 5000, rng.integers(0, 9)), a])
+        b[rng.random(len(b)) < 0.02] = 1
+        pairs.append((a, b, [(k, k + len(b) - len(a)) for k in range(0, len(a), 40)]))
+    ends = [np.concatenate([[0], np.cumsum([len(x[k]) for x in pairs])]) for k in (0, 1, 2)]
+    at, to = np.array([s for *_, seeds in pairs for s in seeds]).T
+    found = substring_dedup.passages_of_pairs(*(np.concatenate([x[k] for x in pairs]) for k in (0, 1)), *ends[:2], np.repeat(np.arange(40), np.diff(ends[2])), at, to)
+    assert found == [substring_dedup.passages(*x) for x in pairs] and 0 < sum(map(bool, found)) < 40
+
+
+def test_open_windows_meet_overlapping_passages_as_one(spark):
+    rng = np.random.default_rng(9)
+    spans = [(int(d), int(s), int(s + n)) for d, s, n in zip(rng.integers(0, 5, 60), rng.integers(0, 2000, 60), rng.integers(50, 90, 60), strict=True)] + [(6, k, k + 60) for k in range(200)]
+    asks = [(1, d, m << 32) for d in range(7) for m in range(0, 2100, 7)]
+    found = spark.createDataFrame(spans, "doc_id long, s long, e long")
+    left = {(r["doc_id"], r["place"] >> 32) for r in substring_dedup._open(spark.createDataFrame(asks, "half long, doc_id long, place long"), found).collect()}
+    assert left == {(d, p >> 32) for _, d, p in asks if not any(d == x and s <= p >> 32 <= e - substring_dedup.WORDS for x, s, e in spans)}
+    assert substring_dedup._merged(found).where("doc_id = 6").count() == 1
+
+
 def test_a_chain_with_too_many_edits_is_taken_apart():
     """Runs that are chained, 0.71 alike in all, of which the first three are 0.82 alike and none is a passage by itself."""
     a = np.arange(145)
