@@ -239,6 +239,16 @@ def test_a_chain_with_too_many_edits_is_taken_apart():
     assert substring_dedup.passages(a, b, [(10, 10)]) == [(0, 100, 0, 100, pytest.approx(90 / 110))]
 
 
+def test_copies_are_counted_behind_the_join(spark):
+    """Words of copies alone are counted, not of all documents; copies with fewer words than a passage have none."""
+    texts = [prose(1, 50), prose(1, 50), prose(2, 49), prose(2, 49), prose(3, 90).replace(" ", "\x0b\t"), prose(3, 90).replace(" ", "\x0b\t"), None, None, "", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    alone, copies = substring_dedup._first_texts(docs)
+    assert sorted((r["doc_id"], r["other_id"], r["start_word"], r["end_word"], r["similarity"]) for r in copies.collect()) == [(1, 0, 0, 50, 1.0), (5, 4, 0, 90, 1.0)]
+    assert sorted(r["doc_id"] for r in alone.collect()) == [0, 2, 4, 8]
+    assert "regexp" not in copies._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_passages_of_rows_that_share_an_id(spark):
     """Two texts of one id, the one much shorter, and a repeated row; passages go from the right ones."""
     passage = prose(1, 70)
